@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import contributor_cap, crosssplit, grouped_split, quantile_cut, textforms
+from corpusloom.llm import bin_packing, contributor_cap, crosssplit, grouped_split, junk_pages, mixture, quantile_cut, textforms, tokens
 from corpusloom.llm.corpus import load, read_columns, records
+from corpusloom.runtime import materialize
 
 EVALUATION = ["val", "test"]
 
@@ -97,6 +98,43 @@ def p5_unified_text(spark, d):
     return formed.groupBy("unified").agg(F.count_distinct("text_normalized").alias("spellings"), F.count_distinct("id").alias("ids")).where("spellings > 1")
 
 
+def _sized(spark, d, *others):
+    docs = load(spark, d, "documents")
+    return materialize(tokens.count_tokens(docs, "doc_id", "text", list(others)).withColumnRenamed("doc_id", "id"), "token-counts")
+
+
+def p6_containers(spark, d):
+    packed = bin_packing.pack(_sized(spark, d), load(spark, d, "pack_spec"))
+    return packed.withColumnRenamed("id", "doc_id").withColumn("tokenizer", F.lit(tokens.TOKENIZER))
+
+
+def p6_packing_report(spark, d):
+    specs = load(spark, d, "pack_spec")
+    return bin_packing.packing_report(bin_packing.pack(_sized(spark, d), specs), specs).withColumn("tokenizer", F.lit(tokens.TOKENIZER))
+
+
+def p7_mixture(spark, d):
+    drawn, _ = mixture.mix(_sized(spark, d, "source"), load(spark, d, "mix_target"))
+    return drawn.withColumnRenamed("id", "doc_id").withColumn("tokenizer", F.lit(tokens.TOKENIZER))
+
+
+def p7_share_report(spark, d):
+    _, report = mixture.mix(_sized(spark, d, "source"), load(spark, d, "mix_target"))
+    return report.withColumn("tokenizer", F.lit(tokens.TOKENIZER))
+
+
+def p8_found(spark, d):
+    return junk_pages.junk_pages(load(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_junk_by_source(spark, d):
+    docs = load(spark, d, "documents")
+    shares = junk_pages.junk_shares(docs)
+    return docs.select("doc_id", "source").join(shares, "doc_id").groupBy("source", "lang").agg(
+        F.count("*").alias("pages"), F.count_if(F.col("junk_share") > 0.5).alias("junk"), F.avg("junk_share").alias("mean_junk_share")
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_kept_per_speaker": p1_kept_per_speaker,
@@ -109,6 +147,12 @@ QUERIES = {
     "p4_split_shares": p4_split_shares,
     "p5_found": p5_found,
     "p5_unified_text": p5_unified_text,
+    "p6_containers": p6_containers,
+    "p6_packing_report": p6_packing_report,
+    "p7_mixture": p7_mixture,
+    "p7_share_report": p7_share_report,
+    "p8_found": p8_found,
+    "p8_junk_by_source": p8_junk_by_source,
 }
 
 from corpusloom.llm.oracles import ORACLES  # noqa: E402, F401
