@@ -56,8 +56,9 @@ def words(text: str) -> list[str]:
 
 def edits_within(a: bytes, b: bytes, limit: int) -> bool:
     """Whether the edit distance of two int32 sequences is at most ``limit`` (bit-parallel, one big integer a column)."""
-    x, y = np.frombuffer(a, np.int32).tolist(), np.frombuffer(b, np.int32).tolist()
-    if abs(len(x) - len(y)) > limit:
+    x, y = memoryview(a).cast("i").tolist(), memoryview(b).cast("i").tolist()
+    # every edit takes away one word of the other text at most
+    if abs(len(x) - len(y)) > limit or len(set(x).difference(y)) > limit or len(set(y).difference(x)) > limit:
         return False
     while x and y and x[-1] == y[-1]:
         x.pop()
