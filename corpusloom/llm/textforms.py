@@ -93,7 +93,7 @@ def add_form(df: DataFrame, column: str, out: str, form: Callable[[str], str] =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, per_distinct(batch.column(position), form, pa.string())], names=names)
 
-    return df.mapInArrow(run, df.withColumn(out, F.lit("").cast("string")).schema)
+    return df.mapInArrow(run, df.withColumn(out, F.lit(None).cast("string")).schema)
 
 
 def _digest(c) -> tuple:
