@@ -28,10 +28,10 @@ TRAINING = ["lang", "wav_path", "norm_text", "semantic_ids_path", "ref_audio_pat
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines as (records, malformed lines). Blank lines are skipped; a malformed line is reported, never fatal."""
-    schema = T.StructType.fromDDL(MANIFEST + ", _corrupt string")
-    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").option("allowNonNumericNumbers", True).json(path)
-    # the reader may not answer a query on the corrupt column alone, so both sides keep the whole schema
-    return raw.where(F.col("_corrupt").isNull()).drop("_corrupt"), raw.where(F.col("_corrupt").isNotNull()).select("id", "_corrupt")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowNonNumericNumbers": "true"}
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = lines.select("value", F.from_json("value", MANIFEST + ", _corrupt string", options).alias("r"))
+    return parsed.where("r._corrupt is null").select("r.*").drop("_corrupt"), parsed.where("r._corrupt is not null").select(F.col("value").alias("line"))
 
 
 def packaged_records(meta: DataFrame) -> DataFrame:

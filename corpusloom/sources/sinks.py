@@ -100,7 +100,7 @@ def wav_bytes(rows: DataFrame, samples: str, rate: int, out: str = "wav") -> Dat
             batch[out] = [None if q is None else _wav(q, rate) for q in batch.pop("_q")]
             yield batch[[*names, out]]
 
-    return quantized.mapInPandas(run, rows.withColumn(out, F.lit(b"")).schema)
+    return quantized.mapInPandas(run, rows.withColumn(out, F.lit(None).cast("binary")).schema)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
