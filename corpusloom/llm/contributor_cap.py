@@ -68,12 +68,17 @@ def _bounded_heaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+def _capped(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    needed = rows.where("contributor is not null").select("id", "contributor", "score", "penalty")
+    return with_target(needed, targets, "max_records").where("target is not null")
+
+
 def best_records(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Kept ``(contributor, id)`` of capped contributors.
 
     ``rows`` has ``id``, ``contributor``, ``score`` (more is better) and ``penalty`` (less is better), one row per id.
     """
-    ranked = with_target(rows.where("contributor is not null"), targets, "max_records").where("target is not null").select(
+    ranked = _capped(rows, targets).select(
         "contributor",
         "target",
         F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("a"),
@@ -89,7 +94,7 @@ def best_records(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 def cut_records(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``(id, contributor)`` of the records beyond their contributor's cap."""
-    capped = with_target(rows.where("contributor is not null"), targets, "max_records").where("target is not null")
+    capped = _capped(rows, targets)
     kept = best_records(rows, targets).select(F.col("id").alias("_kept"))
     return capped.join(kept, capped["id"] == kept["_kept"], "left_anti").select("id", "contributor")
 

@@ -105,8 +105,10 @@ def same_look_pairs(left: DataFrame, left_id: str, left_text: str, right: DataFr
     """Pairs ``(left_id, right_id)`` whose texts look the same but are not equal character by character.
 
     Distinct texts of either side are brought to the unified form and joined by its digest; the appearance decides. Only
-    then are texts expanded to rows, so rows of equal texts, however many, never meet.
+    then are texts expanded to rows, so rows of equal texts, however many, never meet. Where both identifiers have one name,
+    the right one is returned as ``<name>_right``.
     """
+    right_out = f"{right_id}_right" if right_id == left_id else right_id
     sides = []
     for df, ident, text, side in ((left, left_id, left_text, 0), (right, right_id, right_text, 1)):
         t = F.col(text)
@@ -130,5 +132,5 @@ def same_look_pairs(left: DataFrame, left_id: str, left_text: str, right: DataFr
     b = coded.where("side = 1").select("f1", "f2", "l1", "l2", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
     same = a.join(b, ["f1", "f2", "l1", "l2"]).where("a1 <> b1 or a2 <> b2").select("a1", "a2", "b1", "b2")
     rows_a = members.where("side = 0").select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("id").alias(left_id)).distinct()
-    rows_b = members.where("side = 1").select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("id").alias(right_id)).distinct()
-    return same.join(rows_a, ["a1", "a2"]).join(rows_b, ["b1", "b2"]).select(left_id, right_id).distinct()
+    rows_b = members.where("side = 1").select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("id").alias(right_out)).distinct()
+    return same.join(rows_a, ["a1", "a2"]).join(rows_b, ["b1", "b2"]).select(left_id, right_out).distinct()

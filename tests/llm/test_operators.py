@@ -65,6 +65,8 @@ def test_cap_matches_sorting(spark):
     want = brute_cap(rows, {k: v for k, v in caps.items()})
     assert got == want - {i for i, who, *_ in rows if who == "b"}
     assert contributor_cap.kept_records(df, targets).count() == len(rows) - len(got)
+    clash = df.withColumns({"target": F.lit(0), "cap": F.lit(0), "heap": F.lit("x"), "_k": F.lit(1)})
+    assert contributor_cap.cut_records(clash, targets).count() == len(got)
 
 
 def test_cap_without_targets_or_rows(spark):
@@ -269,6 +271,8 @@ def test_same_look_pairs(spark):
     right = spark.createDataFrame([("a", "cửa", 1), ("b", "cửa", 2), ("c", None, 3), ("d", "​", 4), ("e", "x" * 300_000, 5)], "id string, text string, side int")
     got = {tuple(r) for r in textforms.same_look_pairs(left, "id", "text", right.withColumnRenamed("id", "rid"), "rid", "text").collect()}
     assert got == {("1", "b"), ("2", "a"), ("2", "b"), ("6", "e")}
+    same_name = textforms.same_look_pairs(left, "id", "text", right, "id", "text")
+    assert same_name.columns == ["id", "id_right"] and same_name.count() == 4
     assert textforms.same_look_pairs(left.where("false"), "id", "text", right.withColumnRenamed("id", "rid"), "rid", "text").count() == 0
 
 
