@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import PACKAGED, Thresholds
 from corpusloom.functions import arrays as A
 from corpusloom.functions import text as X
+from corpusloom.functions.audio import log_mel_udf, speech_fbank_udf
 from corpusloom.functions.vi_numbers import vi_number as vi_number_udf
 from corpusloom.functions.vi_rules import vi_normalize_udf
 from corpusloom.operators import curation as C
@@ -475,3 +476,16 @@ def overlap_slices(spark, d):
 @query
 def final_flush(spark, d):
     return _chunks(spark, d).where("is_final").select("id", "start", "end")
+
+
+# ---- audio
+
+
+@query
+def mel_frames(spark, d):
+    """Log-mel and filter-bank frames of the token series read as waveforms: how many, and their mean."""
+    wave = table(spark, d, "token_seqs").where("n >= 400").select("id", F.transform("tokens", lambda x: x / 8192.0 - 0.5).alias("w"))
+    mel, bank = log_mel_udf(n_fft=256, hop=64, bands=20), speech_fbank_udf(bands=20)
+    return wave.select("id", mel("w").alias("m"), bank("w").alias("f")).select(
+        "id", F.size("m").alias("mel_frames"), F.size("f").alias("bank_frames"), F.round(F.aggregate(F.flatten("m"), F.lit(0.0), lambda s, x: s + x) / F.size(F.flatten("m")), 4).alias("mean")
+    )

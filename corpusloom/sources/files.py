@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import json
 import wave
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -178,6 +180,33 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "id string, tokens array<bigint>, n int, error string")
 
 
+_KINDS = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "<i1", "U8": "<u1"}
+
+
+def read_tensor(folder: str, name: str, index: str = "model.safetensors.index.json") -> np.ndarray:
+    """One tensor out of sharded tensor files: the index names the file, its header the byte range; nothing else is read."""
+    shard = json.loads(Path(folder, index).read_text(encoding="utf-8"))["weight_map"][name]
+    with open(Path(folder, shard), "rb") as f:
+        size = int.from_bytes(f.read(8), "little")
+        entry = json.loads(f.read(size))[name]
+        begin, end = entry["data_offsets"]
+        f.seek(8 + size + begin)
+        raw = f.read(end - begin)
+    if len(raw) != end - begin:
+        raise ValueError(f"{shard} is cut short: {len(raw)} of {end - begin} bytes of {name}")
+    if entry["dtype"] == "BF16":
+        values = (np.frombuffer(raw, "<u2").astype(np.uint32) << 16).view(np.float32)
+    else:
+        values = np.frombuffer(raw, _KINDS[entry["dtype"]])
+    return values.reshape(entry["shape"])
+
+
+def vector_table(spark: SparkSession, rows: np.ndarray) -> DataFrame:
+    """A matrix as the table (id, v), by Arrow batches."""
+    frame = pd.DataFrame({"id": np.arange(len(rows)), "v": list(np.asarray(rows, np.float32))})
+    return spark.createDataFrame(frame, "id bigint, v array<float>")
+
+
 def with_input_pos(rows: DataFrame) -> DataFrame:
     """``rows`` with ``input_pos``, rising in input order: what breaks ties as a stable sort would."""
     return rows.withColumn("input_pos", F.monotonically_increasing_id())

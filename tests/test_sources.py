@@ -112,3 +112,15 @@ def test_model_contract_isolates_bad_rows(spark):
     got = {r.id: (r.output, r.error) for r in apply_model(rows, "id", "path", factory_of("fake"), "array<bigint>").collect()}
     assert got["1"] == ([2], None) and got["3"] == ([1], None) and got["2"] == (None, "ValueError: unreadable")
     assert apply_model(rows.where("false"), "id", "path", fake_tokenizer, "array<bigint>").count() == 0
+
+
+def test_one_tensor_of_a_sharded_file(spark, tmp_path):
+    a, b = np.arange(6, dtype="<f4").reshape(2, 3), np.arange(4, dtype="<i8")
+    header = json.dumps({"a": {"dtype": "F32", "shape": [2, 3], "data_offsets": [0, 24]}, "b": {"dtype": "I64", "shape": [4], "data_offsets": [24, 56]}, "h": {"dtype": "BF16", "shape": [1], "data_offsets": [56, 58]}}).encode()
+    (tmp_path / "s1").write_bytes(len(header).to_bytes(8, "little") + header + a.tobytes() + b.tobytes() + b"\x80\x3f")
+    (tmp_path / "model.safetensors.index.json").write_text(json.dumps({"weight_map": {"a": "s1", "b": "s1", "h": "s1"}}))
+    assert (R.read_tensor(str(tmp_path), "a") == a).all() and (R.read_tensor(str(tmp_path), "b") == b).all() and R.read_tensor(str(tmp_path), "h")[0] == 1.0
+    assert R.vector_table(spark, a).sort("id").collect()[1].v == [3.0, 4.0, 5.0]
+    (tmp_path / "s1").write_bytes((tmp_path / "s1").read_bytes()[:-3])
+    with pytest.raises(ValueError, match="cut short"):
+        R.read_tensor(str(tmp_path), "h")
