@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,8 +204,8 @@ def read_tensor(folder: str, name: str, index: str = "model.safetensors.index.js
 
 def vector_table(spark: SparkSession, rows: np.ndarray) -> DataFrame:
     """A matrix as the table (id, v), by Arrow batches."""
-    frame = pd.DataFrame({"id": np.arange(len(rows)), "v": list(np.asarray(rows, np.float32))})
-    return spark.createDataFrame(frame, "id bigint, v array<float>")
+    vectors = pa.array(list(np.asarray(rows, np.float32)), pa.list_(pa.float32()))
+    return spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(rows))), "v": vectors}))
 
 
 def with_input_pos(rows: DataFrame) -> DataFrame:
