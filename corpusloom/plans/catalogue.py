@@ -29,18 +29,24 @@ def query(f):
     return f
 
 
-def manifest(spark: SparkSession, d: str) -> DataFrame:
-    """One record per id, the one ingested last, with its cleaned text and score."""
-    rows = C.latest(table(spark, d, "manifest"), "id", "ingested_at")
-    return C.with_norm_text(rows).withColumn("score", C.quality_score())
+_JUDGED = ["id", "audio_path", "speaker_id", "multi_speaker", "duration", "cer", "snr_db", "dnsmos", "clipping", "sr", "tier", "split", "ingested_at"]
+
+
+def manifest(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """One record per id, the one ingested last; only the columns asked for are shuffled."""
+    rows = C.with_norm_text(table(spark, d, "manifest"))
+    return C.latest(rows.select(*dict.fromkeys(["id", *columns, "ingested_at"])), "id", "ingested_at")
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
-    return manifest(spark, d).withColumn("reason", C.admission_reason(T))
+    """Records with score and reason. Of the text only its first character is carried along: the rule asks whether there is one."""
+    rows = C.with_norm_text(table(spark, d, "manifest")).withColumn("norm_text", F.substring("norm_text", 1, 1))
+    kept = C.latest(rows.select(*_JUDGED, "norm_text"), "id", "ingested_at")
+    return kept.withColumn("score", C.quality_score()).withColumn("reason", C.admission_reason(T))
 
 
-def accepted(spark: SparkSession, d: str) -> DataFrame:
-    return C.drop_small_groups(judged(spark, d).where("reason is null"), "speaker_id", T.min_utterances)
+def accepted(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    return C.drop_small_groups((rows or judged(spark, d)).where("reason is null"), "speaker_id", T.min_utterances)
 
 
 # ---- curation
@@ -83,18 +89,18 @@ def small_speaker_drop(spark, d):
 
 @query
 def tier_speaker_counts(spark, d):
-    rows = manifest(spark, d).withColumn("tier", F.upper(F.trim("tier")))
+    rows = manifest(spark, d, "tier", "speaker_id").withColumn("tier", F.upper(F.trim("tier")))
     return rows.groupBy("tier").agg(F.count("*").alias("n"), F.count_distinct("speaker_id").alias("speakers"))
 
 
 @query
 def quality_score(spark, d):
-    return manifest(spark, d).select("id", F.round("score", 6).alias("score"))
+    return manifest(spark, d, "dnsmos", "snr_db", "cer").select("id", F.round(C.quality_score(), 6).alias("score"))
 
 
-def _referenced(spark, d):
-    rows = accepted(spark, d).select("id", "speaker_id", "duration", "score", F.col("audio_path").alias("path"), "split")
-    return C.pick_references(rows, T)
+def _referenced(spark, d, rows=None):
+    clips = accepted(spark, d, rows).select("id", "speaker_id", "duration", "score", F.col("audio_path").alias("path"), "split")
+    return C.pick_references(clips, T)
 
 
 @query
@@ -109,7 +115,7 @@ def pick_refs_fallback(spark, d):
 
 @query
 def split_field(spark, d):
-    return manifest(spark, d).groupBy(C.split_from_field(F.col("split")).alias("split")).agg(F.count("*").alias("n"))
+    return manifest(spark, d, "split").groupBy(C.split_from_field(F.col("split")).alias("split")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -124,14 +130,18 @@ def split_sizes(spark, d):
 
 
 def _final(spark, d):
-    done = _referenced(spark, d)
-    out = done.where("ref_source <> 'none'")
+    """Accepted clips with references, and the reasons of all others; the judged records are written once and read by every branch."""
+    rows = materialize(judged(spark, d).drop("norm_text"), "judged")
+    done = materialize(_referenced(spark, d, rows), "referenced")
+    passed = rows.where("reason is null")
+    small = broadcast_if_small(C.small_groups(passed, "speaker_id", T.min_utterances))
     reasons = (
-        judged(spark, d).where("reason is not null").select("reason")
-        .unionByName(judged(spark, d).where("reason is null").join(broadcast_if_small(C.small_groups(judged(spark, d).where("reason is null"), "speaker_id", T.min_utterances)), "speaker_id", "left_semi").select(F.lit("speaker_too_few_utts").alias("reason")))
+        rows.where("reason is not null").select("reason")
+        .unionByName(passed.join(small, "speaker_id", "left_semi").select(F.lit("speaker_too_few_utts").alias("reason")))
         .unionByName(done.where("ref_source = 'none'").select(F.lit("no_reference").alias("reason")))
     )
-    return out.withColumn("split", C.split_from_field(F.col("split"))), reasons.groupBy("reason").agg(F.count("*").alias("n"))
+    out = done.where("ref_source <> 'none'").withColumn("split", C.split_from_field(F.col("split")))
+    return out, reasons.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query
@@ -147,7 +157,7 @@ def curation_report(spark, d):
 @query
 def training_lines(spark, d):
     rows, _ = _final(spark, d)
-    joined = rows.join(manifest(spark, d).select("id", "norm_text"), "id")
+    joined = rows.join(manifest(spark, d, "norm_text").select("id", "norm_text"), "id")
     columns = {
         "lang": F.lit("vi"), "wav_path": F.col("path"), "norm_text": F.col("norm_text"),
         "semantic_ids_path": F.concat(F.lit("semantic/"), "id", F.lit(".npy")), "ref_audio_paths": F.concat_ws(",", "refs"),
@@ -158,7 +168,7 @@ def training_lines(spark, d):
 @query
 def median_token_rate(spark, d):
     tokens = table(spark, d, "token_seqs").select("id", "n")
-    return C.median_rate(manifest(spark, d).select("id", "duration").join(tokens, "id")).select(F.round("median_rate", 6).alias("median_rate"), "clips", "alarm")
+    return C.median_rate(manifest(spark, d, "duration").select("id", "duration").join(tokens, "id")).select(F.round("median_rate", 6).alias("median_rate"), "clips", "alarm")
 
 
 @query
@@ -176,8 +186,8 @@ def existing_audio(spark, d):
 @query
 def text_mismatches(spark, d):
     """Full comparison id by id: manifest ids whose packaged text is missing or different."""
-    packaged = packaged_records(C.latest(table(spark, d, "metadata"), "file_name", "exported_at")).select("id", F.col("text").alias("other"), F.lit(True).alias("there"))
-    joined = manifest(spark, d).select("id", "text").join(packaged, "id", "left")
+    packaged = C.latest(table(spark, d, "metadata").select("file_name", "text", "exported_at"), "file_name", "exported_at").select(X.file_stem(F.col("file_name")).alias("id"), F.col("text").alias("other"), F.lit(True).alias("there"))
+    joined = manifest(spark, d, "text").select("id", "text").join(packaged, "id", "left")
     return joined.where(~F.col("text").eqNullSafe(F.col("other"))).select("id", F.coalesce("there", F.lit(False)).alias("packaged"))
 
 
@@ -190,7 +200,7 @@ def newest_checkpoints(spark, d):
 
 @query
 def upload_checks(spark, d):
-    files = C.latest(table(spark, d, "metadata"), "file_name", "exported_at").select(F.col("source_path").alias("path"), (X.as_float(F.col("duration")) * 4_000_000).cast("bigint").alias("length"))
+    files = C.latest(table(spark, d, "metadata").select("file_name", "source_path", "duration", "exported_at"), "file_name", "exported_at").select(F.col("source_path").alias("path"), (X.as_float(F.col("duration")) * 4_000_000).cast("bigint").alias("length"))
     return files.groupBy(F.coalesce(upload_error(F.col("path"), F.coalesce("length", F.lit(0))), F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
 
 
@@ -205,13 +215,13 @@ def interleave_langs(spark, d):
 
 @query
 def val_batches(spark, d):
-    rows = manifest(spark, d).where(C.split_from_field(F.col("split")) == "val").select("id")
+    rows = manifest(spark, d, "split").where(C.split_from_field(F.col("split")) == "val").select("id")
     return S.batches(rows, ["id"], 32, drop_last=False).select("id", "batch", "slot")
 
 
 @query
 def train_batches(spark, d):
-    rows = manifest(spark, d).where(C.split_from_field(F.col("split")) == "train").select("id")
+    rows = manifest(spark, d, "split").where(C.split_from_field(F.col("split")) == "train").select("id")
     return S.batches(rows, ["id"], 32, drop_last=True).groupBy("batch").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
@@ -319,7 +329,7 @@ def continuation_prompts(spark, d):
 @query
 def tokens_per_word(spark, d):
     words = F.size(X.words_of(F.col("norm_text")))
-    rows = C.with_norm_text(C.latest(table(spark, d, "manifest"), "id", "ingested_at")).join(table(spark, d, "token_seqs").select("id", "n"), "id")
+    rows = manifest(spark, d, "norm_text").join(table(spark, d, "token_seqs").select("id", "n"), "id")
     return rows.select("id", words.alias("words"), F.round(F.col("n") / F.greatest(words, F.lit(1)), 6).alias("rate"))
 
 
