@@ -145,6 +145,22 @@ def test_short_texts_lose_no_pair_at_a_fifth(spark):
     assert overlap_pairs(spark, rows) == want
 
 
+def test_longer_texts_at_the_limit(spark):
+    rnd = random.Random(11)
+    rows, want = [], set()
+    for i in range(300):
+        n = rnd.randrange(31, 110)
+        text = [f"w{rnd.randrange(3000)}" for _ in range(n)]
+        other = list(text)
+        for at in rnd.sample(range(n), n // 5 if i % 2 else int(n * 0.1)):
+            other[at] = f"x{at}"
+        rows += [(f"t{i}", "train", " ".join(text)), (f"e{i}", "test", " ".join(other))]
+        want.add((f"t{i}", f"e{i}"))
+    got = overlap_pairs(spark, rows)
+    assert got <= want and len(got) >= 0.98 * len(want)
+    assert {p for p in want if int(p[0][1:]) % 2 == 0} <= got  # a tenth of edits
+
+
 def test_overlap_cases(spark):
     long = " ".join(f"từ{i}" for i in range(20_000))
     rows = [
