@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.text import as_bool, as_float, clean_text, file_stem, first_filled
-from corpusloom.runtime import broadcast_if_small
+from corpusloom.runtime import broadcast_if_small, materialize
 
 MANIFEST = (
     "id string, audio_path string, speaker_id string, multi_speaker boolean, duration double, text string, text_normalized string,"
@@ -98,7 +98,8 @@ def read_sentences(spark: SparkSession, path: str) -> DataFrame:
 def existing(rows: DataFrame, files: DataFrame, candidates: list[Column], out: str = "path") -> DataFrame:
     """``rows`` with the first of the candidate paths that is in ``files`` (column path), or null."""
     listed = files.select(F.col("path").alias("_f")).distinct()
-    tries = rows.withColumn("_c", F.array(*candidates)).withColumn("_row", F.monotonically_increasing_id())
+    numbered = rows.withColumn("_c", F.array(*candidates)).withColumn("_row", F.monotonically_increasing_id())
+    tries = materialize(numbered, "path-candidates")  # row numbers must not change when a lost task runs again
     hit = tries.select("_row", F.posexplode("_c").alias("_i", "_f")).join(broadcast_if_small(listed), "_f", "left_semi")
     first = hit.groupBy("_row").agg(F.min_by("_f", "_i").alias(out))
     return tries.join(first, "_row", "left").drop("_c", "_row")
