@@ -4,12 +4,13 @@ Two texts are near-same when at most one fifth of the longer text's words (chara
 changed, dropped or added, in order. Case, punctuation, blanks and disguised characters do not count.
 
 1. Every text becomes its unified form's words, an identity (hash of the words), and a 128-bit similarity hash: bit
-   h(word) is flipped once per occurrence (an odd sketch). One word edit flips at most two bits, so texts within d edits
-   lie within Hamming radius 2d: the radius test below is exact, it drops no near-same pair.
-2. The text's code is segmented into blocks: hashes of GRAM consecutive words, of which every window of WINDOW consecutive
-   ones selects the rarest (by a count sketch of all texts, ties by hash). Equal runs of GRAM + WINDOW - 1 words select
-   equal blocks on both sides, wherever they stand. Texts of up to SHORT words add all their runs of 3 (or 2) words, of which a
-   fifth of edits always leaves one whole. Rarity keeps stock phrases from becoming blocks where anything rarer is near.
+   h(word) is flipped once per occurrence (an odd sketch). A changed word flips at most two bits, a dropped or added one
+   one bit, so texts within d edits whose sizes differ by s lie within Hamming radius 2d - s: the radius test below is
+   exact, it drops no near-same pair.
+2. The text's code is segmented: a train text of n words has partners within d = n // 4 edits at most (a fifth of the longer
+   text, which has at most n + d words), so of any d + 1 disjoint runs of its words one is whole in each partner. It
+   selects d + 1 disjoint runs of 3 or 4 words (2 to 4 in texts of up to 11 words) that together occur least in the evaluation texts (dynamic programming over
+   a count sketch of their runs); evaluation texts give all their runs. No near-same pair is dropped, whatever its length.
 3. Blocks are joined across the two sides, never within one; blocks that are frequent all the same are salted. Only pairs
    within the Hamming radius leave the join, and the exact edit distance of their words decides.
 
@@ -34,15 +35,17 @@ from pyspark.sql import functions as F
 from corpusloom.llm.textforms import unified
 from corpusloom.runtime import broadcast_if_small, materialize
 
-GRAM, WINDOW = 5, 4
-SHORT = 30
-SKETCH_BITS = 18
-HOT = 20_000  # rows from which a block is salted
+RUNS = (2, 3, 4)  # words of a block
+SHORT = 11  # words up to which a train text has blocks of two words; longer ones have room for n // 4 + 1 blocks of three
+PIECE = 256  # words whose blocks are chosen together; a multiple of 4
+SKETCH_BITS = 20
+HOT = 20_000  # evaluation rows from which a block is salted
 _SALTS = 64
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[\u0300-\u036f]")
 _CJK = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 _CACHE = 1_000_000
+_NEVER = 1 << 30  # above any sum of counts, which are cut at 2^22
 
 
 def words(text: str) -> list[str]:
@@ -126,19 +129,74 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _grams(toks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (uint64) of the texts' blocks, one text after the other, and where each text ends."""
-    arrays = [np.frombuffer(t, np.uint32) for t in toks]
-    sizes = np.array([len(a) for a in arrays])
-    flat = np.concatenate(arrays).astype(np.uint64) if arrays else np.zeros(0, np.uint64)
-    h = np.zeros(max(0, len(flat) - GRAM + 1), np.uint64)
-    for k in range(GRAM):
-        h = (h ^ flat[k : len(h) + k]) * np.uint64(0x9E3779B97F4A7C15)
+def _runs(toks: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Word counts and starts of the texts in one long array, and for each length of RUNS the hash (uint64) of the run at each word."""
+    sizes = np.array([len(t) // 4 for t in toks], np.int64)
+    flat = np.frombuffer(b"".join(toks), np.uint32).astype(np.uint64)
+    flat = np.concatenate([flat, np.zeros(RUNS[-1], np.uint64)])
+    n = len(flat) - RUNS[-1]
+    h, hashes = np.zeros(n, np.uint64), []
+    for k in range(RUNS[-1]):
+        h = (h ^ flat[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    counts = np.maximum(sizes - GRAM + 1, 0)
-    index = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)])[:-1], counts) + np.arange(counts.sum())
-    return h[index], np.cumsum(counts)
+        if k + 1 in RUNS:
+            hashes.append(h)
+    return sizes, np.cumsum(sizes) - sizes, hashes
+
+
+def _all_runs(sizes: np.ndarray, starts: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all runs, those of two words only where a short text may be near, and the texts they stand in."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(text))  # words from here to the end of the text
+    short = np.repeat(sizes <= SHORT + SHORT // 4, sizes)
+    whole = [np.nonzero((left >= k) & short if k == RUNS[0] else left >= k)[0] for k in RUNS]
+    return np.concatenate([h[w] for h, w in zip(hashes, whole)]), np.concatenate([text[w] for w in whole])
+
+
+def _chosen_runs(sizes: np.ndarray, starts: np.ndarray, hashes: list[np.ndarray], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of n // 4 + 1 disjoint runs of each text of n >= 4 words that occur least by ``seen``, and their texts.
+
+    Runs that no evaluation text has are left out. Long texts are cut into pieces with PIECE // 4 runs each, so that the
+    work grows with the length.
+    """
+    pieces: dict[int, list[tuple[int, int]]] = {}  # length -> (text, start); all but a text's last piece have PIECE words
+    inner: list[tuple[int, int]] = []
+    for i, (n, at) in enumerate(zip(sizes.tolist(), starts.tolist())):
+        while n >= 2 * PIECE:
+            inner.append((i, at))
+            n, at = n - PIECE, at + PIECE
+        if n >= 4:
+            pieces.setdefault(n, []).append((i, at))
+    groups = [(n, n // 4 + 1, found) for n, found in pieces.items()] + ([(PIECE, PIECE // 4, inner)] if inner else [])
+    out, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for n, wanted, found in groups:
+        text, at = np.array(found, np.int64).T
+        row = np.arange(len(text))
+        kinds = [(k, h) for k, h in zip(RUNS, hashes) if n <= SHORT or k > RUNS[0]]
+        costs = [seen[_slots(h[at[:, None] + np.arange(n - k + 1)])] for k, h in kinds]
+        # best[i][:, j]: least cost of i disjoint runs within the first j words
+        best = [np.zeros((len(text), n + 1), np.int32)]
+        for _ in range(wanted):
+            next_best = np.full_like(best[0], _NEVER)
+            for (k, _), cost in zip(kinds, costs):
+                np.minimum(next_best[:, k:], best[-1][:, :-k] + cost, out=next_best[:, k:])
+            np.minimum(next_best, _NEVER, out=next_best)
+            best.append(np.minimum.accumulate(next_best, 1))
+        end = np.full(len(text), n)
+        for i in range(wanted, 0, -1):
+            value = best[i][row, end]
+            end = (best[i] > value[:, None]).sum(1)  # where the last of the i runs ends
+            length, picked = np.zeros(len(text), np.int64), np.zeros(len(text), np.uint64)
+            for (k, h), cost in zip(kinds, costs):
+                start = np.maximum(end - k, 0)
+                here = (length == 0) & (end >= k) & (best[i - 1][row, start] + cost[row, np.minimum(start, n - k)] == value)
+                length[here] = k
+                picked[here] = h[at + start][here]
+            end = end - length
+            kept = seen[_slots(picked)] > 0
+            out.append(picked[kept])
+            texts.append(text[kept])
+    return np.concatenate(out), np.concatenate(texts)
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -148,42 +206,30 @@ def _slots(h: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
-        counts += np.bincount(_slots(_grams(batch.column(0).to_pylist())[0]), minlength=len(counts))
+        counts += np.bincount(_slots(_all_runs(*_runs(batch.column(0).to_pylist()))[0]), minlength=len(counts))
     at = np.nonzero(counts)[0]
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "n"])
 
 
-def _short_blocks(toks: bytes) -> np.ndarray:
-    """All runs of 3 words (2 in texts of up to 12 words): a fifth of edits leaves one whole in a text of up to SHORT words."""
-    n = len(toks) // 4
-    runs = [xxhash.xxh32_intdigest(toks[4 * i : 4 * (i + k)], k) for k, least, most in ((2, 0, 12), (3, 8, SHORT)) if least <= n <= most for i in range(n - k + 1)]
-    return np.array(runs, np.uint32).view(np.int32)
-
-
 def _blocks(count):
     """tid, side, f1, f2, toks -> the same without toks, with the word count and the selected blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = count.value
         for batch in batches:
-            toks = batch.column(4).to_pylist()
-            h, ends = _grams(toks)
-            rank = (seen[_slots(h)].astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
-            size = np.array([len(t) // 4 for t in toks], np.int32)
-            chosen = np.zeros(len(h), bool)
-            begin = np.concatenate([[0], ends])[:-1]
-            text = np.repeat(np.arange(len(toks)), ends - begin)
-            if len(h) >= WINDOW:
-                view = np.lib.stride_tricks.sliding_window_view(rank, WINDOW)
-                whole = text[: len(view)] == text[WINDOW - 1 :]
-                first = np.nonzero(whole)[0]
-                chosen[first + view[first].argmin(1)] = True
-            chosen |= (ends - begin)[text] < WINDOW  # short texts: all their blocks
-            picked = np.nonzero(chosen)[0]
-            where = np.searchsorted(picked, np.concatenate([[0], ends]))
-            values = (h[picked] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            keys = pa.array([values[where[i] : where[i + 1]] if size[i] > SHORT else np.concatenate([values[where[i] : where[i + 1]], _short_blocks(t)]) for i, t in enumerate(toks)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(size), keys], names=["tid", "side", "f1", "f2", "size", "keys"])
+            sizes, starts, hashes = _runs(batch.column(4).to_pylist())
+            held = batch.column(1).to_numpy() == 1
+            train = np.nonzero(~held)[0]
+            every, of_held = _all_runs(sizes, starts, hashes)
+            every, of_held = every[held[of_held]], of_held[held[of_held]]
+            chosen, of_train = _chosen_runs(sizes[train], starts[train], hashes, seen)
+            text = np.concatenate([of_held, train[of_train]])
+            # one number a block: its text above its key, so equal blocks of a text fall together
+            both = np.unique(text.astype(np.uint64) << np.uint64(32) | np.concatenate([every, chosen]) >> np.uint64(32))
+            offsets = np.searchsorted(both, np.arange(len(sizes) + 1, dtype=np.uint64) << np.uint64(32))
+            values = (both & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes.astype(np.int32)), keys], names=["tid", "side", "f1", "f2", "size", "keys"])
 
     return run
 
@@ -207,10 +253,10 @@ def linked_classes(coded: DataFrame, evaluation: list[str]) -> DataFrame:
     """Pairs ``(tid_a, tid_b)`` of a train-side and an evaluation-side class of equal texts that are near-same or equal."""
     spark = coded.sparkSession
     sided = coded.select("tid", F.col("split").isin(evaluation).cast("int").alias("side"), "glued", "f1", "f2", "toks")
-    slots = sided.select("toks").mapInArrow(_sketch, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    counts[slots["slot"].to_numpy()] = np.minimum(slots["n"].to_numpy(), (1 << 23) - 1)
-    hot = [int(x) for x in np.nonzero(counts > max(HOT, 64 * counts.mean()))[0]]  # 4,096 at most
+    slots = sided.where("side = 1").select("toks").mapInArrow(_sketch, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << SKETCH_BITS, np.int32)
+    counts[slots["slot"].to_numpy()] = np.minimum(slots["n"].to_numpy(), 1 << 22)
+    hot = [int(x) for x in np.nonzero(counts > max(HOT, 256 * counts.mean()))[0]]  # 4,096 at most
     keyed = sided.select("tid", "side", "f1", "f2", "toks").mapInArrow(
         _blocks(spark.sparkContext.broadcast(counts)), "tid bigint, side int, f1 bigint, f2 bigint, size int, keys array<int>"
     )
@@ -227,7 +273,8 @@ def linked_classes(coded: DataFrame, evaluation: list[str]) -> DataFrame:
     b = blocks.where("side = 1").select("key", "salt", *[F.col(c).alias(f"{c}_b") for c in ("tid", "f1", "f2", "size")])
     allowed = F.floor(F.greatest("size_a", "size_b") / 5)
     apart = F.bit_count(F.col("f1_a").bitwiseXOR(F.col("f1_b"))) + F.bit_count(F.col("f2_a").bitwiseXOR(F.col("f2_b")))
-    near = a.join(b, ["key", "salt"]).where((apart <= 2 * allowed) & (F.abs(F.col("size_a") - F.col("size_b")) <= allowed) & (F.col("tid_a") != F.col("tid_b")))
+    differ = F.abs(F.col("size_a") - F.col("size_b"))
+    near = a.join(b, ["key", "salt"]).where((apart <= 2 * allowed - differ) & (differ <= allowed) & (F.col("tid_a") != F.col("tid_b")))
     near = materialize(near.select("tid_a", "tid_b").distinct(), "near-candidates")
 
     wanted = broadcast_if_small(near.select(F.col("tid_a").alias("tid")).union(near.select(F.col("tid_b"))).distinct(), 500_000)

@@ -161,6 +161,46 @@ def test_longer_texts_at_the_limit(spark):
     assert {p for p in want if int(p[0][1:]) % 2 == 0} <= got  # a tenth of edits
 
 
+def test_no_length_loses_a_pair_at_a_fifth(spark):
+    rnd = random.Random(12)
+    rows, want = [], set()
+    for i, n in enumerate([*range(5, 125), 300, 511, 512, 513, 1300]):
+        text, new = [f"w{i}_{j}" for j in range(n)], iter(f"x{i}_{j}" for j in range(n))
+        spread, dropped, grown = list(text), list(text), list(text)
+        for at in range(4, n, 5):  # every fifth word: no five unchanged words in a row
+            spread[at] = next(new)
+        del dropped[4::5]
+        for at in range(n // 4 * 4, 0, -4):
+            grown.insert(at, next(new))
+        mixed = list(text)
+        for at in rnd.sample(range(n), n // 5):
+            mixed[at] = next(new)
+        rows.append((f"t{i}", "train", " ".join(text)))
+        for k, other in enumerate((spread, dropped, grown, mixed)):
+            rows.append((f"e{i}_{k}", "val", " ".join(other)))
+            want.add((f"t{i}", f"e{i}_{k}"))
+    han = [chr(0x4E00 + j) for j in range(40)]
+    rows += [("t_zh", "train", "".join(han)), ("e_zh", "test", "".join("龍" if j % 5 == 4 else c for j, c in enumerate(han)))]
+    want.add(("t_zh", "e_zh"))
+    assert overlap_pairs(spark, rows) == want
+
+
+def test_chosen_runs_are_disjoint_and_enough():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    sizes = np.array([*range(0, 70), 255, 256, 511, 512, 700, 1100])
+    toks = [rnd.integers(0, 1 << 31, n, dtype=np.int32).tobytes() for n in sizes]
+    found, starts, hashes = crosssplit._runs(toks)
+    seen = rnd.integers(1, 50, 1 << crosssplit.SKETCH_BITS).astype(np.int32)
+    chosen, text = crosssplit._chosen_runs(found, starts, hashes, seen)
+    where = {int(x): (i, k) for k, h in zip(crosssplit.RUNS, hashes) for i, x in enumerate(h)}
+    for t, n in enumerate(sizes):
+        spans = sorted(where[int(h)] for h in chosen[text == t])
+        assert len(spans) == (n // 4 + 1 if n >= 4 else 0)
+        assert all(i + k <= j for (i, k), (j, _) in zip(spans, [*spans[1:], (starts[t] + n, 0)]))
+
+
 def test_overlap_cases(spark):
     long = " ".join(f"từ{i}" for i in range(20_000))
     rows = [
