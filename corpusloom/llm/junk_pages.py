@@ -4,15 +4,17 @@ A page is cut into windows of WINDOW tokens (words; characters in Chinese and Ja
 measured on the text without disguises: the share of different words (keyword stuffing and word salad lower it), the
 shares of its characters in links and in tags, the density of list separators, and the share of function words. A
 sentence or line that occurs again is measured once and weighs as often as it occurs, so songs and drills, which repeat
-whole sentences, keep the diversity of their sentences.
+whole sentences, keep the diversity of their sentences. That discount holds for sentences only: where what occurs again
+has too few function words to be one, and is not LONG tokens with a sentence mark at the end, its repeats count in the diversity (pages of keyword lines).
 
 Thresholds are relative to the language's own median over all windows of the corpus: a window is junk when its diversity
-falls below DIVERSITY of the median, when links (one in ten tokens at least) or tags fill it, or when it is dense in separators and has less than
+falls below DIVERSITY of the median, when its diversity with all repeats does and its share of function words is below
+FUNCTION of the median, when links (one in ten tokens at least) or tags fill it, or when it is dense in separators and has less than
 FUNCTION of the median share of function words. A window that only links fill counts as far as links and their captions
 go. A page is junk when more than half of its text is.
 
 Defined cases: null, empty and blank texts are no junk; pages of an unrecognised language are held to the medians over
-all windows; windows of under LEAST words are not judged by diversity; repeated rows give repeated results; empty input
+all windows; windows of under LEAST words (repeats included, where they count) are not judged by diversity; repeated rows give repeated results; empty input
 -> empty result.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.textforms import _LOOKALIKE, _bare, _one_script
 from corpusloom.runtime import materialize
 
-WINDOW, LEAST = 40, 15
+WINDOW, LEAST, LONG = 40, 15, 8
 DIVERSITY, LINKS, TAGS, SEPARATORS, FUNCTION = 0.70, 0.4, 0.4, 0.06, 0.5
 LINK_DENSITY = 0.1
 CAPTIONS = 1.25  # what links fill with their captions, as a multiple of the links
@@ -48,6 +50,7 @@ FUNCTION_WORDS = {
 }
 _FUNCTION = {k: frozenset(v if k in ("zh", "ja") else v.split()) for k, v in FUNCTION_WORDS.items()}
 _LATIN = [k for k in _FUNCTION if k not in ("zh", "ja", "ru")]
+_ANY_LATIN = frozenset().union(*map(_FUNCTION.__getitem__, _LATIN))
 
 _GENERIC = "com|net|org|info|biz|example|test|invalid|localhost"
 _PATH = r"(?:[/?#][^\s<>()\[\]\"']*)?"
@@ -59,6 +62,7 @@ _LINK = re.compile(
 )
 _HINT = re.compile(rf"(?:[.\])]|dot[)\]]?)\s?(?:{_GENERIC})\b|://|hxxp|ftp:|www\.|</?a\b|\.[a-z]{{2,}}/")
 _TAG = re.compile(r"(?<![\w&])#[^\s#]+")
+_ENDS = frozenset(".!?。！？")
 _LABEL = re.compile(r"^[^\W_][^\n:：.!?。！？,，#\ue000\ue001]{0,40}[:：](?=\s)", re.MULTILINE)  # who speaks, in a dialogue
 _UNIT = re.compile(r"\n+|(?<=[.!?。！？])\s*")
 _TOKEN = re.compile("[぀-ヿ㐀-䶿一-鿿]|[^\\W_]+|[\ue000\ue001»›>|·•★☆/;*~=+<←→►▶◆■□●○‣–—]|(?<=\\s)-(?=\\s)")
@@ -67,7 +71,7 @@ _LINKED, _TAGGED = "\ue000", "\ue001"  # private characters that stand for a lin
 _MARKS = _LINKED + _TAGGED
 _KANA, _HAN = re.compile("[぀-ヿ]"), re.compile("[㐀-䶿一-鿿]")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
-_SIGNALS = ["diversity", "function", "link", "tag", "separators", "weight"]
+_SIGNALS = ["diversity", "function", "link", "tag", "separators", "weight", "repeated", "form"]
 _SCHEMA = "lang string, windows array<struct<" + ",".join(f"{s}:float" for s in _SIGNALS) + ">>"
 
 
@@ -115,7 +119,7 @@ def signals(text: str) -> tuple[str, list[tuple]]:
     seen: dict[str, int] = {}
     tokens: list[str] = []
     sizes: list[int] = []
-    units: list[list[int]] = []  # tokens of a unit, how often it occurs
+    units: list[list[int]] = []  # tokens of a unit, how often it occurs, whether it is long and ends as a sentence
     for unit in _UNIT.split(text):
         at = seen.get(unit)
         if at is not None and not (marked and (_LINKED in unit or _TAGGED in unit)):
@@ -125,7 +129,7 @@ def signals(text: str) -> tuple[str, list[tuple]]:
         if not found:
             continue
         seen[unit] = len(units)
-        units.append([len(found), 1])
+        units.append([len(found), 1, len(found) >= LONG and unit.rstrip()[-1] in _ENDS])
         tokens += found
         sizes += [next(lengths[t], 1) if t in lengths else len(t) for t in found] if marked else map(len, found)
     if not tokens:
@@ -136,7 +140,8 @@ def signals(text: str) -> tuple[str, list[tuple]]:
     function = _FUNCTION.get(lang, frozenset()).__contains__
     space = 0 if lang in ("zh", "ja") else 1
     sizes = [n + space for n in sizes] if space else sizes
-    times = [m for n, m in units for _ in range(n)] if any(m > 1 for _, m in units) else None
+    times = [m for n, m, _ in units for _ in range(n)] if any(m > 1 for _, m, _ in units) else None
+    counted = [1 if ends else m for n, m, ends in units for _ in range(n)] if times else []
     cuts = list(range(0, len(tokens), WINDOW))
     if len(cuts) > 1 and len(tokens) - cuts[-1] < WINDOW // 2:
         cuts.pop()
@@ -155,7 +160,13 @@ def signals(text: str) -> tuple[str, list[tuple]]:
         diversity = len(set(judged)) / len(judged) if len(judged) >= LEAST else None
         share = sum(map(function, words)) / len(words) if words else None
         weight = sum(map(mul, size, times[start:end])) if times else whole
-        out.append((diversity, share, link, tag, marks / len(window), float(weight)))
+        repeated = form = None
+        if times and words and max(counted[start:end]) > 1:
+            whole_times = sum(m for t, m in zip(window, counted[start:end]) if t not in _SEPARATOR and t not in _MARKS)
+            if whole_times >= LEAST and whole_times > len(words):
+                repeated = len(set(words)) / whole_times
+                form = share if lang != "other" else sum(map(_ANY_LATIN.__contains__, words)) / len(words)
+        out.append((diversity, share, link, tag, marks / len(window), float(weight), repeated, form))
     return lang, out
 
 
@@ -192,9 +203,11 @@ def junk_shares(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     limits = F.broadcast(thresholds(pages))  # nine languages at most
 
     def share(w):
-        stuffed = F.coalesce(w.diversity < DIVERSITY * F.col("median_diversity"), F.lit(False))
+        low = DIVERSITY * F.col("median_diversity")
+        stuffed = F.coalesce(w.diversity < low, F.lit(False))
+        again = F.coalesce((w.repeated < low) & (w.form < FUNCTION * F.col("median_function")), F.lit(False))
         listed = (w.separators >= SEPARATORS) & F.coalesce(w.function < FUNCTION * F.col("median_function"), F.lit(True))
-        return F.when(stuffed | (w.tag >= TAGS) | listed, 1.0).when(w.link >= LINKS, F.least(F.lit(1.0), CAPTIONS * w.link)).otherwise(0.0)
+        return F.when(stuffed | again | (w.tag >= TAGS) | listed, 1.0).when(w.link >= LINKS, F.least(F.lit(1.0), CAPTIONS * w.link)).otherwise(0.0)
 
     zero = F.lit(0.0)
     bad = F.aggregate("windows", zero, lambda s, w: s + share(w) * w.weight.cast("double"))

@@ -456,3 +456,14 @@ def test_junk_and_genuine_pages(spark):
     df = spark.createDataFrame(rows, "doc_id string, text string, lang int")
     assert {r.doc_id for r in junk_pages.junk_pages(df).collect()} == {f"j{i}" for i in range(len(JUNK))}
     assert junk_pages.junk_pages(df.where("false")).count() == 0
+
+
+def test_repeated_keyword_lines_are_junk(spark):
+    tags = ["cheap mic sale", "studio lamp outlet", "vintage guitar bargain", "wireless headset coupon", "portable speaker discount"]
+    song = ["Trăng lên trên dòng sông của chúng ta", "và em đã hát cho anh nghe", "con thuyền ở lại với bến cũ"]
+    rows = [(f"g{i}", t) for i, t in enumerate(GENUINE * 5)] + [("one line", "cheap mic sale\n" * 500), ("five lines", "\n".join(tags * 100)), ("vi", "tai nghe giá rẻ\nloa kéo chính hãng\n" * 60)]
+    rows += [("song", "\n".join(song * 30)), ("drill", "She has a book.\nHe was in the garden.\n" * 40), ("it", "Il mare era calmo e la luna saliva.\nUna barca tornava a casa con la notte.\n" * 20)]
+    rows += [("zh drill", "第418号没寄出的信集市散去后高兴地路过了溪汀柳街角茶馆。\n" * 4)]
+    rows += [("refrain", GENUINE[1] + "\n" + "la la la\n" * 3 + GENUINE[1].upper())]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r.doc_id for r in junk_pages.junk_pages(df).collect()} == {"one line", "five lines", "vi"}
