@@ -124,12 +124,12 @@ def p7_share_report(spark, d):
 
 
 def p8_found(spark, d):
-    return junk_pages.junk_pages(load(spark, d, "documents")).select("doc_id").distinct()
+    return junk_pages.junk_pages(load(spark, d, "documents"), hint="lang").select("doc_id").distinct()
 
 
 def p8_junk_by_source(spark, d):
     docs = load(spark, d, "documents")
-    shares = junk_pages.junk_shares(docs)
+    shares = junk_pages.junk_shares(docs, hint="lang")
     return docs.select("doc_id", "source").join(shares, "doc_id").groupBy("source", "lang").agg(
         F.count("*").alias("pages"), F.count_if(F.col("junk_share") > 0.5).alias("junk"), F.avg("junk_share").alias("mean_junk_share")
     )

@@ -467,3 +467,22 @@ def test_repeated_keyword_lines_are_junk(spark):
     rows += [("refrain", GENUINE[1] + "\n" + "la la la\n" * 3 + GENUINE[1].upper())]
     df = spark.createDataFrame(rows, "doc_id string, text string")
     assert {r.doc_id for r in junk_pages.junk_pages(df).collect()} == {"one line", "five lines", "vi"}
+
+
+def test_lists_of_products_and_pages_of_other_languages(spark):
+    korean = "할머니는 강가에서 오래된 편지를 읽고 있었다. | 아이들은 시장이 닫힌 뒤에 천천히 집으로 돌아갔다. | 우리는 저녁을 먹은 다음에 다시 그 노래를 들었다. | 비가 그치자 배는 조용히 떠났다."
+    thai = "คุณยายอ่านจดหมายเก่าอยู่ริมแม่น้ำ เด็ก ๆ กลับบ้านช้า ๆ หลังจากตลาดปิด เราฟังเพลงนั้นอีกครั้งหลังอาหารเย็น เรือออกไปเงียบ ๆ เมื่อฝนหยุด"
+    rows = [(f"g{i}", t, None) for i, t in enumerate(GENUINE * 5)]
+    rows += [("korean", korean, "ko"), ("thai", thai, "th"), ("korean, wrong label", korean, "en"), ("domains in a sentence", GENUINE[0] + " See notes.example or shop.de for more of it.", "en")]
+    rows += [("vi list", ", ".join(f"loa kéo X{7000 + 13 * i} giá rẻ {300 + 7 * i}k" for i in range(20)), "vi"), ("zh list", "\n".join(f"充值卡优惠 B{9000 + i} 最新 {200 + i}€" for i in range(20)), "zh")]
+    rows += [("domains", "\n".join(f"cua-hang{i}.vn" for i in range(30)), "vi"), ("more domains", ", ".join(f"laden{i}.co.at" for i in range(30)), None)]
+    scattered = " ".join(f"{a} microphone {b}" for a, b in zip("best new cheap top studio voice small large silver black".split() * 6, [f"model{i}" for i in range(60)]))
+    rows += [("scattered", scattered, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    assert {r.doc_id for r in junk_pages.junk_pages(df, hint="lang").collect()} == {"vi list", "zh list", "domains", "more domains", "scattered"}
+
+
+def test_signals_of_a_window():
+    langs, windows, s = junk_pages.measure(["a xb a xb xk xq " * 3, "", "ab"], [None, "en", "vi"], junk_pages._Tokens())
+    assert langs[1:] == ["other", "vi"] and windows.tolist() == [1, 0, 1]  # "a" is no content word
+    assert s["diversity"][0] == pytest.approx(4 / 18) and s["top"][0] == pytest.approx(6 / 18) and s["grams"][0] == 1 and math.isnan(s["diversity"][1])
