@@ -1,9 +1,12 @@
 """Filling fixed-capacity containers with items.
 
 Items are spread over shards of about SHARD items by a hash; every shard is packed on its own. Bin completion: the
-largest item left is completed with undominated fillings (no filling that another one covers item by item), best fit
-first; branches are pruned by the waste an optimum better than the incumbent may have. The incumbent is best-fit
-decreasing, so a shard ends at once where that meets the lower bound, and after NODES branches at the latest.
+largest item left opens a container, which is completed with each of its undominated fillings in turn, fullest first, found
+lazily by reachable sums, however many items they hold; a branch ends where its waste exceeds what a packing better than
+the incumbent may have. A filling is dominated when an item left out can take the place of some of its items (or of none)
+and still fit. The incumbent is best-fit decreasing. The search is exhaustive, hence optimal, unless it meets the
+lower bound before or has looked at ``nodes`` fillings beyond one for each container of the incumbent; then the best packing
+found so far holds, which is complete in any case.
 An item is cut only if it alone exceeds a container: into full containers and a rest that is packed like any item.
 
 Defined cases: items of size null or 0 (null, empty texts) take no space and are in no container; repeated identifiers
@@ -13,7 +16,7 @@ capacity that is null or below 1 gets no container.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD = 4_000
-NODES = 2_000
-WIDTH = 4
+NODES = 500
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -43,99 +45,141 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def fillings(room: int, kinds: list[int], left: Counter) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by up to three sizes of ``left``, least waste first; ``kinds`` rising.
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """Containers that any packing needs: items above half a container never meet, and small ones need the room that is left.
 
-    One size y dominates every filling whose sizes together fit into y; so with the best single size y, only pairs and
-    triples that fill more than y are listed, each with the largest partner that still fits.
+    For each limit, items that leave less room than the limit are alone; those of at least the limit share what the others leave.
     """
-    found: list[tuple[int, ...]] = []
-    top = bisect_right(kinds, room) - 1
-    while top >= 0 and not left[kinds[top]]:
-        top -= 1
-    if top < 0:
-        return [()]
-    single = kinds[top]
-    found.append((single,))
-    if single == room:
-        return found
-    tried = 0
-    for i in range(top, -1, -1):
-        y = kinds[i]
-        if not left[y] or 2 * y < room - y and found[-1:] != [(single,)]:
-            continue
-        j = min(bisect_right(kinds, room - y) - 1, i)
-        while j >= 0 and (not left[kinds[j]] or (j == i and left[y] < 2)):
-            j -= 1
-        if j < 0:
-            continue
-        z = kinds[j]
-        if y + z > single:
-            found.append((y, z))
-            h = min(bisect_right(kinds, room - y - z) - 1, j)
-            while h >= 0 and left[kinds[h]] < 1 + (kinds[h] == y) + (kinds[h] == z):
-                h -= 1
-            if h >= 0:
-                found[-1] = (y, z, kinds[h])
-        tried += 1
-        if sum(found[-1]) == room or tried > 64:
-            break
-    found.sort(key=lambda f: (-sum(f), len(f)))
-    return found[:WIDTH]
+    falling = sorted(sizes, reverse=True)
+    prefix = [0]
+    for s in falling:
+        prefix.append(prefix[-1] + s)
+    negative = [-s for s in falling]
+    big = bisect_left(negative, -capacity / 2)  # items above half the capacity
+    best = -(-prefix[-1] // capacity)
+    for limit in {0, *(s for s in falling if 2 * s <= capacity)}:
+        alone = bisect_left(negative, -(capacity - limit)) if limit else 0
+        upto = bisect_left(negative, 0.5 - limit)  # items of at least the limit
+        shared = big - alone
+        room = shared * capacity - (prefix[big] - prefix[alone])
+        small = prefix[upto] - prefix[big] if upto > big else 0
+        best = max(best, alone + shared + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def _smeared(sums: int, low: int, high: int) -> int:
+    """The sums moved up by each of low..high."""
+    if high < low:
+        return 0
+    done, width = sums << low, 1
+    while width < high - low + 1:
+        step = min(width, high - low + 1 - width)
+        done |= done << step
+        width += step
+    return done
+
+
+def _dominated(filling: tuple[int, ...], slack: int, left: Counter) -> bool:
+    none, one, more = 1, 0, 0  # sums of no, one, several of the filling's items, as bits
+    for s in filling:
+        more |= (more << s) | (one << s)
+        one |= 1 << s
+    hits = _smeared(none, 1, slack) | _smeared(one, 1, slack) | more | _smeared(more, 1, slack)
+    used = Counter(filling)
+    return any(hits >> k & 1 for k, n in left.items() if n > used[k] and k <= hits.bit_length())
+
+
+def fillings(room: int, left: Counter) -> Iterator[tuple[int, ...] | None]:
+    """The undominated fillings of ``room`` by sizes of ``left``, fullest first, and None for each dominated one met on the way."""
+    kinds = sorted((k for k, n in left.items() if n and k <= room), reverse=True)
+    whole = (1 << room + 1) - 1
+    reach = [1]  # sums that the kinds from here on can have, as bits
+    for k in reversed(kinds):
+        sums, copies, take = reach[-1], min(left[k], room // k), 1
+        while copies > 0:
+            take = min(take, copies)
+            sums |= sums << k * take & whole
+            copies -= take
+            take *= 2
+        reach.append(sums)
+    reach.reverse()
+
+    def filled(i: int, rest: int) -> Iterator[tuple[int, ...]]:
+        if not rest:
+            yield ()
+            return
+        for j in range(i, len(kinds)):
+            k = kinds[j]
+            if k > rest:
+                continue
+            if not reach[j] >> rest & 1:
+                return
+            for n in range(min(left[k], rest // k), 0, -1):
+                if reach[j + 1] >> rest - n * k & 1:
+                    for others in filled(j + 1, rest - n * k):
+                        yield (k,) * n + others
+
+    sums = reach[0]
+    while sums:
+        total = sums.bit_length() - 1
+        sums ^= 1 << total
+        for filling in filled(0, total):
+            yield None if _dominated(filling, room - total, left) else filling
 
 
 def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """The best packing found: optimal when it meets the lower bound or the search ends within ``nodes`` branches."""
+    """The best packing found: optimal when it meets the lower bound or the search ends within ``nodes``."""
     sizes = sorted(sizes, reverse=True)
     best = best_fit_decreasing(sizes, capacity)
-    bound = -(-sum(sizes) // capacity)
-    total = sum(sizes)
+    bound = lower_bound(sizes, capacity)
     if len(best) <= bound:
         return best
+    total, budget = sum(sizes), nodes + len(best)
     left = Counter(sizes)
-    kinds = sorted(left)
-    # one frame per container: its content and the fillings not tried yet
-    stack: list[tuple[int, list[tuple[int, ...]]]] = []
+    falling = sorted(left, reverse=True)
+    stack: list[tuple[int, int, Iterator]] = []  # a frame per container: place of its largest size, that size, the fillings not tried
     packed: list[list[int]] = []
-    waste, high = 0, len(kinds) - 1
-
-    def largest() -> int | None:
-        i = len(kinds) - 1
-        while i >= 0 and not left[kinds[i]]:
-            i -= 1
-        return kinds[i] if i >= 0 else None
-
-    x = largest()
-    left[x] -= 1
-    stack.append((x, fillings(capacity - x, kinds, left)))
-    while stack and nodes > 0 and len(best) > bound:
-        x, options = stack[-1]
+    waste = 0
+
+    def open_container(start: int) -> None:
+        while not left[falling[start]]:
+            start += 1
+        x = falling[start]
+        left[x] -= 1
+        stack.append((start, x, fillings(capacity - x, left)))
+
+    open_container(0)
+    placed = 0
+    while stack and len(best) > bound:
+        start, x, options = stack[-1]
         if len(packed) == len(stack):  # come back from below: take the last filling out
             content = packed.pop()
             waste -= capacity - sum(content)
+            placed -= len(content)
             for s in content[1:]:
                 left[s] += 1
-        if not options:
-            stack.pop()
+        filling = None
+        for option in options:
+            budget -= 1
+            if option is not None or budget <= 0:
+                filling = option
+                break
+        if budget <= 0:
+            break
+        if filling is None or waste + capacity - x - sum(filling) > (len(best) - 1) * capacity - total:
+            stack.pop()  # nothing left to try, or only what wastes too much
             left[x] += 1
             continue
-        nodes -= 1
-        content = [x, *options.pop(0)]
-        gap = capacity - sum(content)
-        if waste + gap > (len(best) - 1) * capacity - total:
-            options.clear()  # fillings are sorted: the others waste more
-            continue
-        for s in content[1:]:
+        for s in filling:
             left[s] -= 1
-        packed.append(content)
-        waste += gap
-        nxt = largest()
-        if nxt is None:
+        packed.append([x, *filling])
+        waste += capacity - x - sum(filling)
+        placed += len(filling) + 1
+        if placed == len(sizes):
             if len(packed) < len(best):
                 best = [list(c) for c in packed]
-            continue
-        left[nxt] -= 1
-        stack.append((nxt, fillings(capacity - nxt, kinds, left)))
+        else:
+            open_container(start)
     return best
 
 

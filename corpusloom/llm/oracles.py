@@ -58,4 +58,9 @@ ORACLES = {
     "p3_cutoffs": _CUT
     + "SELECT speaker AS speaker_id, cutoff, cut.n AS n, wanted, count(*) AS kept FROM scored JOIN cut USING (speaker) WHERE dnsmos >= cutoff GROUP BY ALL",
     "p4_found": _RECORDS + "SELECT speaker AS speaker_id FROM rec WHERE speaker IS NOT NULL GROUP BY speaker HAVING count(DISTINCT split) > 1",
+    # results that any right assignment, packing or mixture must have
+    "p4_split_checks": "SELECT count(DISTINCT file_name) AS records, 0 AS torn_speakers, 0 AS missed_shares FROM metadata",
+    "p6_packing_checks": """SELECT spec_id, 0 AS overfull, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0 AS changed, 0 AS cut_too_often
+      FROM pack_spec WHERE capacity_tokens > 0""",
+    "p7_share_checks": "SELECT source, round(100.0 * weight_pct / (SELECT sum(weight_pct) FROM mix_target), 6) AS wanted_pct, false AS off, 0 AS over FROM mix_target",
 }

@@ -89,6 +89,17 @@ def p4_split_shares(spark, d):
     )
 
 
+def p4_split_checks(spark, d):
+    """What must hold of the new splits: every record placed, no speaker in two, no split off its share by a percent of the records."""
+    placed = materialize(grouped_split.assign_splits(_components(spark, d), load(spark, d, "split_target")), "new-splits")
+    torn = placed.where("speaker is not null").groupBy("speaker").agg(F.count_distinct("new_split").alias("k")).where("k > 1").agg(F.count("*").alias("torn_speakers"))
+    target = load(spark, d, "split_target").select(F.col("split").alias("new_split"), "share_pct")
+    sizes = placed.groupBy("new_split").agg(F.count("*").alias("n")).join(target, "new_split", "full")
+    total = placed.agg(F.count("*").alias("records"))
+    off = sizes.crossJoin(total).agg(F.count_if(F.abs(F.coalesce("n", F.lit(0)) - F.col("share_pct") * F.col("records") / 100) > 0.01 * F.col("records")).alias("missed_shares"))
+    return total.crossJoin(torn).crossJoin(off)
+
+
 def p5_found(spark, d):
     return textforms.same_look_pairs(load(spark, d, "manifest"), "id", "text_normalized", load(spark, d, "train"), "wav_path", "norm_text")
 
@@ -113,6 +124,21 @@ def p6_packing_report(spark, d):
     return bin_packing.packing_report(bin_packing.pack(_sized(spark, d), specs), specs).withColumn("tokenizer", F.lit(tokens.TOKENIZER))
 
 
+def p6_packing_checks(spark, d):
+    """What must hold of the containers of each spec: none overfull, each document there, cut only where it exceeds one, all tokens placed."""
+    sized, specs = _sized(spark, d), load(spark, d, "pack_spec")
+    packed = materialize(bin_packing.pack(sized, specs), "packed")
+    per = packed.groupBy("spec_id", "shard", "container").agg(F.sum("tokens").alias("used")).join(specs, "spec_id")
+    full = per.groupBy("spec_id").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overfull"))
+    by_doc = packed.groupBy("spec_id", "id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("placed")).join(specs, "spec_id").join(sized.select("id", "tokens"), "id")
+    docs = by_doc.groupBy("spec_id").agg(
+        F.count("*").alias("documents"),
+        F.count_if(F.col("placed") != F.col("tokens")).alias("changed"),
+        F.count_if(F.col("pieces") != F.ceil(F.col("tokens") / F.col("capacity_tokens"))).alias("cut_too_often"),
+    )
+    return full.join(docs, "spec_id")
+
+
 def p7_mixture(spark, d):
     drawn, _ = mixture.mix(_sized(spark, d, "source"), load(spark, d, "mix_target"))
     return drawn.withColumnRenamed("id", "doc_id").withColumn("tokenizer", F.lit(tokens.TOKENIZER))
@@ -123,6 +149,19 @@ def p7_share_report(spark, d):
     return report.withColumn("tokenizer", F.lit(tokens.TOKENIZER))
 
 
+def p7_share_checks(spark, d):
+    """What must hold of the mixture: a row per listed source, no document above its repeats, no share off by 0.2 points
+    of what the sources with documents can have (sources of under 20 documents are as near as whole documents allow)."""
+    sized, target = _sized(spark, d, "source"), load(spark, d, "mix_target")
+    drawn, report = mixture.mix(sized, target)
+    over = drawn.join(target.select("source", "max_repeats"), "source").groupBy("source").agg(F.count_if(F.col("times") > F.col("max_repeats")).alias("over"))
+    there = report.where("available > 0 and wanted_pct > 0").agg(F.sum("wanted_pct").alias("there"))
+    off = F.abs(F.col("actual_pct") - F.when(F.col("available") > 0, 100 * F.col("wanted_pct") / F.col("there")).otherwise(0)) > 0.2
+    few = sized.where("tokens > 0").groupBy("source").agg(F.count("*").alias("held"))
+    joined = report.crossJoin(there).join(over, "source", "left").join(few, "source", "left")
+    return joined.select("source", F.round("wanted_pct", 6).alias("wanted_pct"), (off & (F.coalesce("held", F.lit(20)) >= 20)).alias("off"), F.coalesce("over", F.lit(0)).alias("over"))
+
+
 def p8_found(spark, d):
     return junk_pages.junk_pages(load(spark, d, "documents"), hint="lang").select("doc_id").distinct()
 
@@ -145,12 +184,15 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_new_splits": p4_new_splits,
     "p4_split_shares": p4_split_shares,
+    "p4_split_checks": p4_split_checks,
     "p5_found": p5_found,
     "p5_unified_text": p5_unified_text,
     "p6_containers": p6_containers,
     "p6_packing_report": p6_packing_report,
+    "p6_packing_checks": p6_packing_checks,
     "p7_mixture": p7_mixture,
     "p7_share_report": p7_share_report,
+    "p7_share_checks": p7_share_checks,
     "p8_found": p8_found,
     "p8_junk_by_source": p8_junk_by_source,
 }

@@ -387,13 +387,42 @@ def optimum(sizes, capacity):
 def test_bin_completion_finds_the_optimum_on_small_cases():
     rnd = random.Random(9)
     better = 0
-    for _ in range(120):
-        sizes = sorted((rnd.randrange(15, 70) for _ in range(9)), reverse=True)
-        bins = bin_packing.bin_completion(sizes, 100)
-        assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= 100 for b in bins)
-        assert len(bins) == optimum(sizes, 100)
-        better += len(bins) < len(bin_packing.best_fit_decreasing(sizes, 100))
-    assert bin_packing.bin_completion([50, 44, 42, 34, 20, 10][::1], 100) and better >= 0
+    for _ in range(3000):
+        capacity = rnd.choice([20, 30, 50, 100])
+        most = max(2, int(capacity * rnd.choice([0.3, 0.5, 0.8, 1])))
+        sizes = [rnd.randrange(1, most + 1) for _ in range(rnd.randrange(1, 10))]
+        bins = bin_packing.bin_completion(sizes, capacity, 1_000_000)
+        assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= capacity for b in bins)
+        best = optimum(sorted(sizes, reverse=True), capacity)
+        assert len(bins) == best >= bin_packing.lower_bound(sizes, capacity)
+        better += len(bins) < len(bin_packing.best_fit_decreasing(sorted(sizes, reverse=True), capacity))
+    assert better >= 5
+    assert len(bin_packing.bin_completion([7, 3, 7, 2, 4, 10, 2, 9, 12, 4], 30)) == 2
+
+
+def test_fillings_are_all_undominated_ones_fullest_first():
+    rnd = random.Random(13)
+    for _ in range(300):
+        left = collections.Counter(rnd.randrange(1, 12) for _ in range(rnd.randrange(1, 8)))
+        room = rnd.randrange(1, 30)
+        got = [f for f in bin_packing.fillings(room, left) if f is not None]
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True) and len(set(got)) == len(got)
+        every = {()}
+        for k in sorted(left, reverse=True):
+            every = {f + (k,) * n for f in every for n in range(left[k] + 1)}
+        fit = {f for f in every if f and sum(f) <= room} or {()}
+        assert set(got) <= fit
+        # what is left out can take a filling that is listed instead, without more containers: its items fit in that one's
+        for f in fit - set(got):
+            assert any(sum(g) >= sum(f) for g in got)
+
+
+def test_searches_that_run_out_stay_whole():
+    rnd = random.Random(14)
+    sizes = [rnd.randrange(40, 300) for _ in range(400)]
+    for nodes in (0, 50):
+        bins = bin_packing.bin_completion(sizes, 512, nodes)
+        assert sorted(s for b in bins for s in b) == sorted(sizes) and max(map(sum, bins)) <= 512
 
 
 # ---- 7
@@ -419,9 +448,13 @@ def test_mixture_meets_shares_and_repeats(spark):
     assert all(1 <= r.times <= limit[r.source] and r.tokens > 0 for r in seen) and len({r.id for r in seen}) == len(seen)
     total = sum(r.tokens * r.times for r in seen)
     for s, w in (("big", 0.5), ("mid", 0.3), ("small", 0.2)):
-        assert abs(sum(r.tokens * r.times for r in seen if r.source == s) / total - w) < 0.02
+        assert abs(sum(r.tokens * r.times for r in seen if r.source == s) / total - w) < 0.0005
     again, _ = mixture.mix(df, targets, block=500)
     assert {(r.id, r.times) for r in again.collect()} == {(r.id, r.times) for r in seen}
+    long = df.where("source = 'mid'").limit(3).withColumns({"id": F.col("id") + 10_000, "tokens": F.lit(30_000)})
+    uneven, _ = mixture.mix(df.unionByName(long), targets, block=500)
+    per = {r.source: r.n for r in uneven.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("n")).collect()}
+    assert all(abs(per[s] / sum(per.values()) - w) < 0.002 for s, w in (("big", 0.5), ("mid", 0.3), ("small", 0.2)))
     nothing, empty = mixture.mix(df.where("false"), targets)
     assert nothing.count() == 0 and empty.count() == 5
 
