@@ -197,17 +197,22 @@ def nucleus(scores: Column, k: int, p: float) -> Column:
     return kept.ids
 
 
+def cross_entropy(scores: Column, target: Column, ignore: int = -100) -> Column:
+    """Negative log-likelihood of ``target`` under the softmax of ``scores``; null where the target is the ignored one."""
+    return F.when(target != ignore, -F.log(F.get(softmax(scores), target)))
+
+
 def masked_mean(value: Column, mask: Column) -> Column:
     """Aggregate: mean of ``value`` where ``mask`` holds; null where it never does."""
     return F.sum(F.when(mask, value.cast("double"))) / F.nullif(F.count_if(mask), F.lit(0))
 
 
 def gathered_mean(items: DataFrame, ident: str, positions: str, table: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """Mean of the table's vectors at an item's positions (embedding lookup): positions are exploded, joined and averaged."""
-    at = items.select(ident, F.explode(positions).alias("_k"))
+    """Mean of the table's vectors at an item's positions (embedding lookup): an item's equal positions are counted first, then weigh."""
+    at = items.select(ident, F.explode(positions).alias("_k")).groupBy(ident, "_k").agg(F.count("*").alias("_c"))
     hit = at.join(table.select(F.col(key).alias("_k"), F.col(vector).alias("_v")), "_k")
-    means = [F.avg(F.get("_v", F.lit(i))).alias(f"_{i}") for i in range(size)]
-    return hit.groupBy(ident).agg(F.count("*").alias("found"), *means).select(ident, "found", F.array(*[f"_{i}" for i in range(size)]).alias("mean"))
+    means = [(F.sum(F.get("_v", F.lit(i)) * F.col("_c")) / F.sum(F.when(F.get("_v", F.lit(i)).isNotNull(), F.col("_c")))).alias(f"_{i}") for i in range(size)]
+    return hit.groupBy(ident).agg(F.sum("_c").alias("found"), *means).select(ident, "found", F.array(*[f"_{i}" for i in range(size)]).alias("mean"))
 
 
 def calibrated_scale(norms: Callable[[float], float], target: float, low: float = 0.3, high: float = 2.0, steps: int = 24) -> float:

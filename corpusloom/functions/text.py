@@ -30,14 +30,14 @@ def first_filled(*columns: Column) -> Column:
 
 def as_float(c: Column) -> Column:
     """Packaged number: '', nan, none and null in any case are missing, and so is what cannot be read."""
-    s = F.lower(F.trim(c))
+    s = F.lower(strip_blanks(c))
     v = F.when(~s.isin("", "nan", "none", "null"), s.try_cast("double"))
     return F.when(~F.isnan(v), v)
 
 
 def as_bool(c: Column) -> Column:
     """True for true, 1 and yes in any case; everything else, null included, is false."""
-    return F.coalesce(F.lower(F.trim(c)).isin("true", "1", "yes"), F.lit(False))
+    return F.coalesce(F.lower(strip_blanks(c)).isin("true", "1", "yes"), F.lit(False))
 
 
 def file_stem(c: Column) -> Column:
@@ -196,3 +196,21 @@ _HIRAGANA_TO_KATAKANA = {c: c + 0x60 for c in (*range(0x3041, 0x3097), 0x309D, 0
 def hiragana_to_katakana(texts: pd.Series) -> pd.Series:
     """Kana only; readings of kanji need a dictionary and are left to a tokenizer UDF."""
     return texts.map(lambda t: None if t is None else t.translate(_HIRAGANA_TO_KATAKANA))
+
+
+def normalization_language(text: Column, language: Column) -> Column:
+    """The language whose rules apply: the one named, by its characters where it is ``auto``; any other is read as English."""
+    named = F.lower(language)
+    return F.when(named == "auto", detect_language(text)).when(named.isin("zh", "vi", "ja"), named).otherwise("en")
+
+
+def normalize(text: Column, language: Column, vietnamese) -> Column:
+    """White space squeezed, then the rules of the text's language; ``vietnamese`` is the UDF that ``vi_normalize_udf`` makes."""
+    t = clean_text(text)
+    chosen = normalization_language(t, language)
+    return (
+        F.when(chosen == "zh", chinese_form(t))
+        .when(chosen == "vi", vietnamese(F.when(chosen == "vi", t)))
+        .when(chosen == "ja", hiragana_to_katakana(F.when(chosen == "ja", t)))
+        .otherwise(spell_out_numbers(F.when(chosen == "en", t)))
+    )

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import Thresholds
 from corpusloom.functions.text import clean_text, first_filled
-from corpusloom.runtime import broadcast_if_small
+from corpusloom.functions.blanks import strip_blanks
+from corpusloom.operators.quantiles import exact_quantiles
 
 
 def over(c: Column, limit: float) -> Column:
@@ -76,11 +77,12 @@ def packaged_reason(t: Thresholds) -> Column:
 
 
 def quality_score() -> Column:
-    """dnsmos in tenths, or the SNR up to 40 dB, less a hundred times the character error rate."""
+    """dnsmos in tenths, or the SNR up to 40 dB, less a hundred times the character error rate; null where a metric it needs is NaN."""
     acoustic = F.when(F.col("dnsmos").isNotNull(), F.col("dnsmos") * 10.0).otherwise(
         F.when(F.isnan("snr_db"), F.col("snr_db")).otherwise(F.least(F.coalesce("snr_db", F.lit(0.0)), F.lit(40.0)))
     )
-    return acoustic - F.lit(100.0) * F.coalesce("cer", F.lit(0.0))
+    score = acoustic - F.lit(100.0) * F.coalesce("cer", F.lit(0.0))
+    return F.when(~F.isnan(score), score)
 
 
 def small_groups(rows: DataFrame, key: str, least: int) -> DataFrame:
@@ -89,18 +91,19 @@ def small_groups(rows: DataFrame, key: str, least: int) -> DataFrame:
 
 
 def drop_small_groups(rows: DataFrame, key: str, least: int) -> DataFrame:
-    return rows.join(broadcast_if_small(small_groups(rows, key, least)), key, "left_anti")
+    return rows.join(small_groups(rows, key, least), key, "left_anti")  # its size is seen at run time, which decides whether it is broadcast
 
 
 def top_clips(rows: DataFrame, k: int) -> DataFrame:
-    """Per speaker the k+1 best clips as an array: enough to leave a clip itself out.
+    """Per speaker the k+1 best clips of the reference length and the k+1 best of the others: enough to leave a clip itself out.
 
-    The rank limit is pushed below the shuffle, so a hot speaker sends k+1 rows per task.
+    ``rows`` has ``ranged``. The rank limit is pushed below the shuffle, so a hot speaker sends 2k+2 rows per task. Clips without
+    a score (null or NaN) come last; ``clips`` is sorted by score and id.
     """
-    last = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
-    rank = F.row_number().over(Window.partitionBy("speaker_id").orderBy(last.desc(), F.col("id")))
-    best = rows.withColumn("_rank", rank).where(F.col("_rank") <= k + 1)
-    return best.groupBy("speaker_id").agg(F.array_sort(F.collect_list(F.struct("_rank", "id", "path"))).alias("clips"))
+    last = F.coalesce(F.when(~F.isnan("score"), F.col("score")), F.lit(float("-inf")))
+    scored = rows.select("speaker_id", F.coalesce("ranged", F.lit(False)).alias("ranged"), (-last).alias("_last"), "id", "path")
+    best = scored.withColumn("_rank", F.row_number().over(Window.partitionBy("speaker_id", "ranged").orderBy("_last", "id"))).where(F.col("_rank") <= k + 1)
+    return best.groupBy("speaker_id").agg(F.array_sort(F.collect_list(F.struct("_last", "id", "path", "ranged"))).alias("clips"))
 
 
 def pick_references(rows: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -110,27 +113,22 @@ def pick_references(rows: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     up a short list); without one, ``ref_source`` is ``none``. ``rows`` has id, speaker_id, duration, score, path.
     """
     ranged = F.col("duration").between(t.ref_min_seconds, t.ref_max_seconds)
-    pools = top_clips(rows.where(ranged), t.num_refs).withColumnRenamed("clips", "_ranged").join(
-        top_clips(rows, t.num_refs).withColumnRenamed("clips", "_any"), "speaker_id", "full"
-    )
+    pools = top_clips(rows.withColumn("ranged", ranged), t.num_refs).withColumnRenamed("clips", "_clips")
+    joined = rows.join(pools, "speaker_id", "left")
 
-    def others(c: str) -> Column:
-        own_out = F.filter(F.coalesce(F.col(c), F.array().cast("array<struct<_rank:int,id:string,path:string>>")), lambda x: x.id != F.col("id"))
-        return F.transform(F.slice(own_out, 1, t.num_refs), lambda x: x.path)
+    def paths(clips: Column) -> Column:
+        return F.transform(F.slice(clips, 1, t.num_refs), lambda x: x.path)
 
-    a, b = others("_ranged"), others("_any")
-    joined = rows.join(pools, "speaker_id", "left")
+    mine = F.coalesce(F.filter("_clips", lambda x: x.id != F.col("id")), F.filter("_clips", lambda x: F.lit(False)))
+    picked = joined.withColumn("_clips", mine).withColumns({"_a": paths(F.filter("_clips", lambda x: x.ranged)), "_b": paths(F.col("_clips"))})
     source = F.when(F.size("_a") > 0, "range").when(F.size("_b") > 0, "fallback").otherwise("none")
-    return (
-        joined.withColumns({"_a": a, "_b": b})
-        .withColumns({"refs": F.when(F.size("_a") > 0, F.col("_a")).otherwise(F.col("_b")), "ref_source": source})
-        .drop("_ranged", "_any", "_a", "_b")
-    )
+    refs = F.when(F.size("_a") > 0, F.col("_a")).otherwise(F.coalesce("_b", F.array().cast("array<string>")))
+    return picked.withColumns({"refs": refs, "ref_source": source}).drop("_clips", "_a", "_b")
 
 
 def split_from_field(c: Column) -> Column:
     """``train`` stays, any other filled value is ``val``, null and blank are ``train``."""
-    s = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    s = F.lower(strip_blanks(F.coalesce(c, F.lit(""))))
     return F.when(s.isin("", "train"), "train").otherwise("val")
 
 
@@ -142,8 +140,8 @@ def val_size(n: Column, ratio: float) -> Column:
 def split_by_hash(rows: DataFrame, ratio: float, seed: int) -> DataFrame:
     """``rows`` with ``split``: of every speaker the ``val_size`` clips with the smallest md5(id, seed) are ``val``.
 
-    A hash prefix cuts every speaker into up to 65,536 buckets; only the bucket in which the cut falls is ranked, so no
-    task sorts a whole speaker.
+    A hash prefix cuts every speaker into up to 65,536 buckets, and ranks are counted within a bucket on top of the sizes of
+    those before it, so no task sorts a whole speaker.
     """
     h = F.md5(F.concat(F.col("id"), F.lit(f":{seed}")))
     hashed = rows.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 4))
@@ -178,18 +176,26 @@ def summary(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
     return main.crossJoin(F.broadcast(rejected.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rejected"), F.count("*").alias("reasons"))))
 
 
+def report_rows(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The report as rows ``(section, name, value)``: totals, clips per reason, clips per speaker (as many rows as speakers)."""
+    totals = summary(accepted, rejected)
+    parts = [totals.select(F.lit("total").alias("section"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in totals.columns]
+    parts.append(rejected.select(F.lit("rejected"), "reason", F.col("n").cast("double")))
+    parts.append(accepted.groupBy("speaker_id").agg(F.count("*").cast("double").alias("n")).select(F.lit("speaker"), "speaker_id", "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def nested_summary(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
-    """As ``summary``, with the reasons and the clips per speaker as maps: the report document."""
+    """As ``summary``, with the reasons as a map: the report document. Clips per speaker are rows of ``report_rows``."""
     reasons = rejected.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("rejected"))
-    speakers = accepted.groupBy("speaker_id").agg(F.count("*").alias("n")).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker_id", "n")))).alias("utts_per_speaker")
-    )
-    return summary(accepted, rejected).drop("rejected", "reasons").crossJoin(F.broadcast(reasons)).crossJoin(F.broadcast(speakers))
+    return summary(accepted, rejected).drop("rejected", "reasons").crossJoin(F.broadcast(reasons))  # one row: a reason is one of a fixed list
 
 
 def median_rate(tokens: DataFrame, expected: float = 50.0) -> DataFrame:
     """Exact median of tokens per second and whether it is more than a fifth off; ``tokens`` has n, duration."""
     rate = F.col("n") / F.col("duration")
-    return tokens.where("duration > 0 and n > 0").agg(F.median(rate).alias("median_rate"), F.count("*").alias("clips")).withColumn(
-        "alarm", F.abs(F.col("median_rate") - expected) / expected > 0.2
-    )
+    q = exact_quantiles(tokens.where("duration > 0 and n > 0").withColumn("_all", F.lit(0)), rate, [0.5], "_all")
+    return q.select(F.get("q", F.lit(0)).alias("median_rate"), F.col("n").alias("clips")).withColumn("alarm", F.abs(F.col("median_rate") - expected) / expected > 0.2)

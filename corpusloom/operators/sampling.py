@@ -41,7 +41,7 @@ def interleave(rows: DataFrame, source: str, order: list[str]) -> DataFrame:
     )
     times = F.floor((F.col("_max") - 1 - F.col("pos")) / F.col("_len"))
     blocks = F.sequence(F.lit(0), F.floor(times / _BLOCK))
-    joined = placed.join(F.broadcast(named), source).withColumn("_t", times).withColumn("_k", F.explode(blocks))
+    joined = placed.join(named, source).withColumn("_t", times).withColumn("_k", F.explode(blocks))
     turns = F.sequence(F.col("_k") * _BLOCK, F.least(F.col("_t"), F.col("_k") * _BLOCK + _BLOCK - 1))
     spread = joined.withColumn("_m", F.explode(turns))
     row = (F.col("pos") + F.col("_m") * F.col("_len")) * F.col("_l") + F.col("_s")
@@ -58,25 +58,37 @@ def batches(rows: DataFrame, order: list[str], size: int, drop_last: bool) -> Da
     return numbered.crossJoin(F.broadcast(whole)).where("batch < _whole").drop("pos", "_whole")
 
 
+def seeded(ident: Column, seed: int) -> Column:
+    """48 bits of md5(ident:seed): a draw that is the same in every run and engine."""
+    return F.conv(F.substring(F.md5(F.concat(ident, F.lit(f":{seed}"))), 1, 12), 16, 10).cast("bigint")
+
+
 def shards(ident: Column, ranks: int, seed: int) -> Column:
     """Rank of a record: a seeded hash, the same in every run."""
-    return F.pmod(F.xxhash64(ident, F.lit(seed)), F.lit(ranks)).cast("int")
+    return (seeded(ident, seed) % ranks).cast("int")
+
+
+def even_shards(rows: DataFrame, order: list[str], ranks: int) -> DataFrame:
+    """``rows`` with ``rank``: dealt out in turn, and the rows that do not fill a round dropped, so that all ranks have as many."""
+    placed = indexed(rows, order)
+    rounds = placed.agg(F.floor(F.count("*") / ranks).alias("_rounds"))
+    return placed.crossJoin(F.broadcast(rounds)).where(F.col("pos") < F.col("_rounds") * ranks).withColumn("rank", (F.col("pos") % ranks).cast("int")).drop("pos", "_rounds")
 
 
 def pick(items: Column, ident: Column, seed: int) -> Column:
     """One element of an array, by a seeded hash of the record; null of an empty one."""
-    at = F.pmod(F.xxhash64(ident, F.lit(seed)), F.greatest(F.size(items), F.lit(1))).cast("int")
+    at = (seeded(ident, seed) % F.greatest(F.size(items), F.lit(1))).cast("int")
     return F.get(items, at)
 
 
 def crop_start(length: Column, window: int, ident: Column, seed: int) -> Column:
     """First sample of a crop of ``window``: 0 when the clip is shorter."""
-    return F.when(length <= window, F.lit(0)).otherwise(F.pmod(F.xxhash64(ident, F.lit(seed)), length - window + 1)).cast("bigint")
+    return F.when(length <= window, F.lit(0)).otherwise(seeded(ident, seed) % (length - window + 1)).cast("bigint")
 
 
 def keep_with_probability(ident: Column, p: float, seed: int) -> Column:
     """Bernoulli choice by a seeded hash: conditional dropout and prompt masking, reproducible."""
-    return F.pmod(F.xxhash64(ident, F.lit(seed)), F.lit(1_000_000)) < F.lit(int(p * 1_000_000))
+    return seeded(ident, seed) % 1_000_000 < F.lit(int(p * 1_000_000))
 
 
 def admitted(tokens: Column, text_length: Column | None = None, max_tokens: int = 1520, max_text: int = 520, vocabulary: int = 8192) -> Column:

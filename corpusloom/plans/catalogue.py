@@ -9,12 +9,14 @@ from corpusloom.config import PACKAGED, Thresholds
 from corpusloom.functions import arrays as A
 from corpusloom.functions import text as X
 from corpusloom.functions.audio import log_mel_udf, speech_fbank_udf
+from corpusloom.functions.blanks import strip_blanks
 from corpusloom.functions.vi_numbers import vi_number as vi_number_udf
 from corpusloom.functions.vi_rules import vi_normalize_udf
 from corpusloom.operators import curation as C
 from corpusloom.operators import sampling as S
 from corpusloom.operators import segmentation as G
-from corpusloom.plans.oracles import ORACLES  # noqa: F401
+from corpusloom.operators.quantiles import exact_quantiles
+from corpusloom.plans.oracles import ORACLES, VI_CASES  # noqa: F401
 from corpusloom.runtime import broadcast_if_small, materialize, table
 from corpusloom.sources.files import newest_checkpoint, packaged_records, reference_list, upload_error
 from corpusloom.sources.sinks import pending, tsv_line
@@ -71,7 +73,9 @@ def reason_counts(spark, d):
 def tier_filter(spark, d):
     meta = C.latest(table(spark, d, "metadata"), "file_name", "exported_at")
     reason = F.coalesce(C.packaged_reason(PACKAGED), F.lit("accepted"))
-    return packaged_records(meta).select("id", "tier", reason.alias("reason"))
+    files = table(spark, d, "train").select(F.col("wav_path").alias("path"))  # the audio that is there
+    records = packaged_records(meta, files, ("/srv/tts/s8_package/dataset/", ""), manifest(spark, d, "sr"))
+    return records.select("id", "tier", "wav_exists", "sr", reason.alias("reason"))
 
 
 @query
@@ -89,7 +93,7 @@ def small_speaker_drop(spark, d):
 
 @query
 def tier_speaker_counts(spark, d):
-    rows = manifest(spark, d, "tier", "speaker_id").withColumn("tier", F.upper(F.trim("tier")))
+    rows = manifest(spark, d, "tier", "speaker_id").withColumn("tier", F.upper(strip_blanks(F.col("tier"))))
     return rows.groupBy("tier").agg(F.count("*").alias("n"), F.count_distinct("speaker_id").alias("speakers"))
 
 
@@ -151,7 +155,7 @@ def curation_summary(spark, d):
 
 @query
 def curation_report(spark, d):
-    return C.nested_summary(*_final(spark, d)).select(F.to_json(F.struct("*")).alias("report"))
+    return C.report_rows(*_final(spark, d)).select("section", "name", F.round("value", 3).alias("value"))
 
 
 @query
@@ -286,8 +290,7 @@ def runs_by_mode(spark, d):
 @query
 def speaker_sets(spark, d):
     """Speakers of manifest and metadata as set operations."""
-    a = table(spark, d, "manifest").select(F.lower(F.trim("speaker_id")).alias("s")).where("s <> ''").distinct()
-    b = table(spark, d, "metadata").select(F.lower(F.trim("speaker_id")).alias("s")).where("s <> ''").distinct()
+    a, b = (table(spark, d, t).select(F.lower(strip_blanks(F.col("speaker_id"))).alias("s")).where("s <> ''").distinct() for t in ("manifest", "metadata"))
     both = a.intersect(b).agg(F.count("*").alias("n")).select(F.lit("both").alias("part"), "n")
     only = a.subtract(b).agg(F.count("*").alias("n")).select(F.lit("manifest only").alias("part"), "n")
     return both.unionByName(only)
@@ -322,8 +325,11 @@ def prompts(spark, d):
 
 @query
 def continuation_prompts(spark, d):
-    rows = table(spark, d, "train").select("wav_path", "norm_text").distinct()
-    return rows.select("wav_path", X.join_prompt_and_target(F.substring("norm_text", 1, 40), F.col("norm_text")).alias("prompt"))
+    """A row's text behind the whole transcript of its first reference clip."""
+    rows = table(spark, d, "train").select("wav_path", "norm_text", F.get(reference_list(F.col("ref_audio_paths")), F.lit(0)).alias("ref")).distinct()
+    spoken = rows.groupBy(F.col("wav_path").alias("ref")).agg(F.min("norm_text").alias("spoken"))
+    joined = rows.join(spoken, "ref")
+    return joined.select("wav_path", X.join_prompt_and_target(F.col("spoken"), F.col("norm_text")).alias("prompt")).distinct()
 
 
 @query
@@ -335,26 +341,50 @@ def tokens_per_word(spark, d):
 
 @query
 def vi_number(spark, d):
-    return spark.range(0, 2_000_000_000_000, 40_000_000_007).select("id", vi_number_udf("id").alias("reading"))
+    """The numbers of up to 18 digits in the training texts, each once."""
+    found = table(spark, d, "train").select(F.explode(F.regexp_extract_all("norm_text", F.lit("([0-9]+)"), 1)).alias("n")).where("length(n) <= 18")
+    numbers = found.select(F.col("n").cast("bigint").alias("n")).distinct()
+    return numbers.select("n", vi_number_udf("n").alias("reading"))
 
 
 @query
 def vi_normalize(spark, d):
     rows = table(spark, d, "train").where("lang = 'vi'").select("wav_path", "norm_text").distinct()
-    return rows.select("wav_path", vi_normalize_udf()("norm_text").alias("reading"))
+    # a text costs a millisecond: rows are spread by number, which their few bytes would not do
+    spread = rows.repartition(2 * spark.sparkContext.defaultParallelism)
+    return spread.select("wav_path", vi_normalize_udf()("norm_text").alias("reading"))
+
+
+@query
+def vi_normalize_cases(spark, d):
+    """Texts of known reading (see ``oracles.VI_CASES``)."""
+    texts = spark.createDataFrame([(t,) for t in VI_CASES], "text string")
+    return texts.select("text", vi_normalize_udf()("text").alias("reading"))
+
+
+@query
+def normalize_by_language(spark, d):
+    """The dispatch over the languages of the training texts: each text's language and what the dispatch makes of the text."""
+    rows = table(spark, d, "train").select("wav_path", "norm_text", "lang").distinct()
+    rows = rows.where("norm_text is not null").repartition(2 * spark.sparkContext.defaultParallelism)
+    language = X.normalization_language(F.col("norm_text"), F.col("lang"))
+    done = rows.select("lang", language.alias("language"), (X.normalize(F.col("norm_text"), F.col("lang"), vi_normalize_udf()).rlike("[0-9]")).alias("digits"))
+    return done.groupBy("lang", "language").agg(F.count("*").alias("n"), F.count_if((F.col("language") == "en") & F.col("digits")).alias("english_with_digits"))
 
 
 @query
 def segment_zh(spark, d):
-    rows = table(spark, d, "documents").where(X.contains_han(F.col("text"))).select("doc_id", F.posexplode(G.segments_by_chars(F.col("text"))).alias("position", "segment"))
-    return rows
+    text = F.col("text")
+    cut = G.whole_if_empty(G.segments_by_chars(text), text)
+    return table(spark, d, "documents").where(X.contains_han(text)).select("doc_id", F.posexplode(cut).alias("position", "segment"))
 
 
 @query
 def segment_words(spark, d):
-    rows = table(spark, d, "documents").where("text is not null and lang in ('vi', 'en')")
-    cut = G.segment_udf(language="vi")
-    return rows.select("doc_id", F.posexplode(cut("text")).alias("position", "segment")).select("doc_id", "position", F.length("segment").alias("chars"))
+    """Every page with a text, cut by the language it is in."""
+    rows = table(spark, d, "documents").where("text is not null")
+    cut = G.segment_by_language_udf()
+    return rows.select("doc_id", F.posexplode(cut(F.col("text"), X.detect_language(F.col("text")))).alias("position", "segment"))
 
 
 # ---- vectors
@@ -369,14 +399,14 @@ def l2_cosine(spark, d):
     rows = _vectors(spark, d)
     mean = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     centre = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p.m).alias("c"))
-    return rows.join(F.broadcast(centre), "label").select("vec_id", F.round(A.norm(F.col("v")), 6).alias("norm"), F.round(A.cosine(F.col("v"), F.col("c")), 6).alias("cosine"))
+    return rows.join(centre, "label").select("vec_id", F.round(A.norm(F.col("v")), 6).alias("norm"), F.round(A.cosine(F.col("v"), F.col("c")), 6).alias("cosine"))
 
 
 @query
 def norm_quantiles(spark, d):
-    n = _vectors(spark, d).select("label", A.norm(F.col("v")).alias("n"))
-    q = F.percentile("n", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return n.groupBy("label").agg(q.alias("q"), F.avg("n").alias("m")).select("label", *[F.round(F.get("q", F.lit(i)), 6).alias(a) for i, a in enumerate(("p10", "p50", "p90"))], F.round("m", 6).alias("mean"))
+    rows = _vectors(spark, d).select("label", A.norm(F.col("v")).alias("norm"))
+    q = exact_quantiles(rows, F.col("norm"), [0.1, 0.5, 0.9], "label").join(rows.groupBy("label").agg(F.avg("norm").alias("m")), "label")
+    return q.select("label", *[F.round(F.get("q", F.lit(i)), 6).alias(a) for i, a in enumerate(("p10", "p50", "p90"))], F.round("m", 6).alias("mean"))
 
 
 @query
@@ -459,13 +489,30 @@ def gathered_mean(spark, d):
 
 @query
 def calibrated_scale(spark, d):
-    """The scale that brings the mean norm of one half of the table to that of the other, by bisection."""
-    cached = materialize(_vectors(spark, d).select("vec_id", A.norm(F.col("v")).alias("n")), "norms")
-    mean = {r.odd: r.m for r in cached.groupBy((F.col("vec_id") % 2).alias("odd")).agg(F.avg("n").alias("m")).collect()}
-    scale = A.calibrated_scale(lambda s: cached.where("vec_id % 2 = 1").agg(F.avg(F.col("n") * s)).first()[0], mean[0])
+    """The scale that brings the mean norm of one half of the table to that of the other, by bisection on the halves' means."""
+    halves = _vectors(spark, d).groupBy((F.col("vec_id") % 2).alias("odd")).agg(F.avg(A.norm(F.col("v"))).alias("m"))
+    mean = {r.odd: r.m for r in halves.collect()}
+    scale = A.calibrated_scale(lambda s: s * mean[1], mean[0])  # a mean of norms is linear in the scale
     return spark.createDataFrame([(round(scale, 4),)], "scale double")
 
 
+@query
+def vector_bytes(spark, d):
+    """Parameters and bytes of the embedding table as 32-bit floats, in all and per label."""
+    rows = table(spark, d, "embeddings").select("label", F.size("embedding").cast("bigint").alias("n"))
+    per = rows.groupBy("label").agg(F.sum("n").alias("parameters"))
+    total = rows.agg(F.sum("n").alias("parameters")).select(F.lit(None).cast("int").alias("label"), "parameters")
+    return per.select(F.col("label").cast("int").alias("label"), "parameters").unionByName(total).withColumn("bytes", F.col("parameters") * 4)
+
+
+@query
+def cross_entropy(spark, d):
+    """Mean negative log-likelihood of each vector's label under the softmax of its first ten values; labels above nine are ignored."""
+    rows = _vectors(spark, d).select("vec_id", F.slice("v", 1, 10).alias("v"), "label")
+    loss = A.cross_entropy(F.col("v"), F.when(F.col("label") < 10, F.col("label")).otherwise(-100))
+    return rows.agg(F.round(F.avg(loss), 6).alias("loss"), F.count(loss).alias("counted"))
+
+
 # ---- chunks
 
 
@@ -488,14 +535,22 @@ def final_flush(spark, d):
     return _chunks(spark, d).where("is_final").select("id", "start", "end")
 
 
+@query
+def streamed_chunks(spark, d):
+    """The token series as a stream of growing snapshots through the stateful operator, to its end: the windows it emits."""
+    from corpusloom.streaming.chunks import replayed_chunks
+
+    return replayed_chunks(table(spark, d, "token_seqs").select("id", "tokens"), 40)
+
+
 # ---- audio
 
 
 @query
 def mel_frames(spark, d):
-    """Log-mel and filter-bank frames of the token series read as waveforms: how many, and their mean."""
-    wave = table(spark, d, "token_seqs").where("n >= 400").select("id", F.transform("tokens", lambda x: x / 8192.0 - 0.5).alias("w"))
+    """How many log-mel and filter-bank frames the token series have when read as waveforms."""
+    wave = table(spark, d, "token_seqs").select("id", F.transform("tokens", lambda x: x / 8192.0 - 0.5).alias("w"))
     mel, bank = log_mel_udf(n_fft=256, hop=64, bands=20), speech_fbank_udf(bands=20)
     return wave.select("id", mel("w").alias("m"), bank("w").alias("f")).select(
-        "id", F.size("m").alias("mel_frames"), F.size("f").alias("bank_frames"), F.round(F.aggregate(F.flatten("m"), F.lit(0.0), lambda s, x: s + x) / F.size(F.flatten("m")), 4).alias("mean")
+        "id", F.size("m").alias("mel_frames"), F.size("f").alias("bank_frames"), F.forall("m", lambda x: F.size(x) == 20).alias("whole")
     )

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.blanks import blank_to_null, strip_blanks
 from corpusloom.functions.text import as_bool, as_float, clean_text, file_stem, first_filled
 from corpusloom.runtime import broadcast_if_small, materialize
 
@@ -37,27 +38,60 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return parsed.where("r._corrupt is null").select("r.*").drop("_corrupt"), parsed.where("r._corrupt is not null").select(F.col("value").alias("line"))
 
 
-def packaged_records(meta: DataFrame) -> DataFrame:
-    """Metadata strings as records: id from the file name, numbers, booleans, tier upper, split lower (blank: train)."""
+def packaged_records(meta: DataFrame, files: DataFrame | None = None, roots: tuple[str, ...] = ("",), rates: DataFrame | None = None) -> DataFrame:
+    """Metadata strings as records: id from the file name, numbers, booleans, tier upper, split lower (blank: train).
+
+    ``wav_exists`` says whether the file name under one of ``roots`` is in the listing ``files`` (column path; without a listing
+    all exist); ``rates`` (id, sr) gives sample rates, which the metadata lacks.
+    """
     c = F.col
+    if files is not None:
+        meta = existing(meta, files, [F.concat(F.lit(r), c("file_name")) for r in roots], "_path").withColumn("wav_exists", c("_path").isNotNull()).drop("_path")
+    else:
+        meta = meta.withColumn("wav_exists", F.lit(True))
+    meta = meta.withColumn("_id", file_stem(c("file_name")))
+    if rates is not None:
+        meta = meta.join(rates.select(c("id").alias("_id"), "sr"), "_id", "left")
+    else:
+        meta = meta.withColumn("sr", F.lit(None).cast("int"))
     numbers = {n: as_float(c(n)).alias(n) for n in ("duration", "snr_db", "dnsmos", "cer", "clipping")}
     return meta.select(
-        file_stem(c("file_name")).alias("id"),
+        c("_id").alias("id"),
         c("file_name").alias("audio_path"),
-        F.trim("speaker_id").alias("speaker_id"),
+        strip_blanks(c("speaker_id")).alias("speaker_id"),
         as_bool(c("multi_speaker")).alias("multi_speaker"),
         *numbers.values(),
         "text",
         "text_normalized",
-        F.upper(F.trim(F.coalesce("tier", F.lit("")))).alias("tier"),
-        F.lower(F.coalesce(F.nullif(F.trim("split"), F.lit("")), F.lit("train"))).alias("split"),
+        F.upper(strip_blanks(F.coalesce("tier", F.lit("")))).alias("tier"),
+        F.lower(F.coalesce(blank_to_null(c("split")), F.lit("train"))).alias("split"),
         clean_text(first_filled(c("text_normalized"), c("text"))).alias("norm_text"),
-        F.lit(None).cast("int").alias("sr"),
-        F.lit(True).alias("wav_exists"),
-        *[x for x in meta.columns if x not in METADATA],
+        "sr",
+        "wav_exists",
+        *[x for x in meta.columns if x not in (*METADATA, "_id", "sr", "wav_exists")],
     )
 
 
+def read_packaged_manifest(spark: SparkSession, path: str, files: DataFrame, roots: tuple[str, ...] = ("",)) -> tuple[DataFrame, DataFrame]:
+    """The packaged manifest as (records, malformed lines): tier upper, split lower (blank: train), and where its audio is.
+
+    The path as given and under each of ``roots`` is looked up in the listing ``files``; ``audio_path`` becomes the first that is
+    there, and ``wav_exists`` says whether one is.
+    """
+    rows, malformed = read_manifest(spark, path)
+    given = F.col("audio_path")
+    found = existing(rows, files, [given, *[F.concat(F.lit(r), given) for r in roots]], "_path")
+    return found.withColumns(
+        {
+            "tier": F.upper(strip_blanks(F.coalesce("tier", F.lit("")))),
+            "split": F.lower(F.coalesce(blank_to_null(F.col("split")), F.lit("train"))),
+            "wav_exists": F.col("_path").isNotNull(),
+            "audio_path": F.coalesce("_path", "audio_path"),
+            "norm_text": clean_text(first_filled(F.col("text_normalized"), F.col("text"))),
+        }
+    ).drop("_path"), malformed
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """CSV with header, quoted fields with commas and line breaks; every column a string."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in METADATA])

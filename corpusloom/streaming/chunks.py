@@ -8,6 +8,7 @@ a boundary has none.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators.sampling import BOS, EOS
+from corpusloom.runtime import scratch_dir
 
 CHUNK_SCHEMA = "seq_id string, chunk_idx int, start int, end int, is_final boolean"
 _STATE_SCHEMA = "seen int, total int, emitted int, chunks int, step int"
@@ -114,3 +116,33 @@ def with_pauses(chunks: DataFrame, rate: int) -> DataFrame:
         "seq_id", "segment", F.lit(2**31 - 1).alias("chunk"), F.array_repeat(F.lit(0.0), pause_samples(rate)).alias("samples")
     )
     return chunks.select("seq_id", "segment", "chunk", "samples").unionByName(gaps)
+
+
+def replayed_chunks(sequences: DataFrame, step: int) -> DataFrame:
+    """Whole sequences ``(id, tokens)`` played as a stream of snapshots that grow by ``step`` tokens, to its end: the chunks.
+
+    Snapshots, state and chunks are in the session's shared scratch folder.
+    """
+    spark = sequences.sparkSession
+    root = f"{scratch_dir(spark)}/replay-{uuid.uuid4().hex}"
+    n = F.size("tokens")
+    last = F.greatest(F.ceil(n / step).cast("int"), F.lit(1))
+    grown = sequences.select(F.col("id").alias("seq_id"), "tokens", F.explode(F.sequence(F.lit(1), last)).alias("step"), last.alias("_last"))
+    snapshots = grown.select("seq_id", "step", F.slice("tokens", F.lit(1), F.col("step") * step).alias("raw"), (F.col("step") == F.col("_last")).alias("is_end"))
+    snapshots.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(snapshots.schema).parquet(f"{root}/in")
+    query = stream_chunks(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+    query.trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    return spark.read.schema(CHUNK_SCHEMA).parquet(f"{root}/out")
+
+
+def write_apart(chunks: DataFrame, data: str, errors: str, checkpoint: str):
+    """Starts a stream whose rows with a null ``error`` go to ``data`` and whose others go to ``errors``: a failure never stands among the data."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        kept.where("error is null").drop("error").withColumn("batch", F.lit(number)).write.mode("append").parquet(data)
+        kept.where("error is not null").withColumn("batch", F.lit(number)).write.mode("append").parquet(errors)
+        kept.unpersist()
+
+    return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -79,3 +79,35 @@ def test_empty_tables(spark):
     assert C.drop_small_groups(empty, "speaker_id", 2).count() == 0
     total = C.summary(empty.withColumn("split", F.lit("train")), spark.createDataFrame([], "reason string, n bigint")).first()
     assert (total.accepted, total.hours_total, total.rejected) == (0, 0.0, 0)
+
+
+def test_quantiles_are_exact(spark):
+    import random
+
+    import numpy as np
+
+    from corpusloom.operators.quantiles import exact_quantiles
+
+    rnd = random.Random(1)
+    rows = [(g, rnd.choice([rnd.gauss(0, 1), rnd.gauss(0, 1), 0.5, None, math.nan])) for g in ["a", "b", None] * 400] + [("one", 2.0), ("none", None), ("flat", 1.0), ("flat", 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: (r.n, list(r.q)) for r in exact_quantiles(df, F.col("x"), [0.0, 0.1, 0.5, 1.0], "g", buckets=16).collect()}
+    assert set(got) == {"a", "b", None, "one", "flat"}
+    for g, (n, q) in got.items():
+        values = [x for k, x in rows if k == g and x is not None and not math.isnan(x)]
+        assert n == len(values) and np.allclose(q, np.quantile(values, [0.0, 0.1, 0.5, 1.0]))
+    assert exact_quantiles(df.where("false"), F.col("x"), [0.5], "g").count() == 0
+
+
+def test_score_of_a_metric_that_is_no_number(spark):
+    rows = [(3.0, None, None), (math.nan, None, None), (None, math.nan, None), (None, 50.0, 0.1), (3.0, math.nan, 0.1), (3.0, None, math.nan)]
+    got = [r.s for r in spark.createDataFrame(rows, "dnsmos double, snr_db double, cer double").select(C.quality_score().alias("s")).collect()]
+    assert got == [30.0, None, None, 30.0, 20.0, None]
+
+
+def test_report_has_a_row_per_speaker_and_reason(spark):
+    done = spark.createDataFrame([("a", 3600.0, "train"), ("a", 0.0, "val"), ("b", 0.0, "train")], "speaker_id string, duration double, split string")
+    gone = spark.createDataFrame([("cer", 4), ("snr", 1)], "reason string, n bigint")
+    got = {(r.section, r.name): r.value for r in C.report_rows(done, gone).collect()}
+    assert got["total", "accepted"] == 3 and got["total", "hours_total"] == 1 and got["rejected", "cer"] == 4 and got["speaker", "a"] == 2
+    assert C.nested_summary(done, gone).first().rejected == {"cer": 4, "snr": 1}

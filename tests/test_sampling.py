@@ -102,3 +102,18 @@ def test_penalty_and_nucleus(spark):
 
 def test_bisection():
     assert A.calibrated_scale(lambda s: 3 * s, 3.6) == pytest.approx(1.2, abs=1e-6)
+
+
+def test_even_shards_drop_what_fills_no_round(spark):
+    df = spark.createDataFrame([(f"i{k:02d}",) for k in range(11)], "id string")
+    got = S.even_shards(df, ["id"], 4).collect()
+    assert sorted((r.id, r.rank) for r in got) == [(f"i{k:02d}", k % 4) for k in range(8)]
+    assert S.even_shards(df.where("false"), ["id"], 4).count() == 0
+
+
+def test_cross_entropy_ignores_its_mark(spark):
+    import math
+
+    df = spark.createDataFrame([([0.0, 0.0], 1), ([0.0, math.log(3.0)], 1), ([1.0, 2.0], -100)], "v array<double>, t int")
+    got = [r.l for r in df.select(A.cross_entropy(F.col("v"), F.col("t")).alias("l")).collect()]
+    assert got[0] == pytest.approx(math.log(2)) and got[1] == pytest.approx(math.log(4 / 3)) and got[2] is None

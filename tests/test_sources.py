@@ -124,3 +124,23 @@ def test_one_tensor_of_a_sharded_file(spark, tmp_path):
     (tmp_path / "s1").write_bytes((tmp_path / "s1").read_bytes()[:-3])
     with pytest.raises(ValueError, match="cut short"):
         R.read_tensor(str(tmp_path), "h")
+
+
+def test_packaged_records_strip_all_blanks_and_look_for_audio(spark):
+    schema = "file_name string, " + ", ".join(f"{c} string" for c in R.METADATA[1:])
+    row = dict.fromkeys(R.METADATA) | dict(speaker_id="\tS1 ", tier=" a\t", split="Val\t", duration="\t1.5 ", multi_speaker=" YES\n")
+    meta = spark.createDataFrame([tuple((row | {"file_name": f"wav/{x}.wav"}).values()) for x in "ab"], schema)
+    files = spark.createDataFrame([("/root/wav/a.wav",)], "path string")
+    got = {r.id: r for r in R.packaged_records(meta, files, ("/root/", ""), spark.createDataFrame([("a", 16000)], "id string, sr int")).collect()}
+    assert (got["a"].wav_exists, got["a"].sr, got["b"].wav_exists, got["b"].sr) == (True, 16000, False, None)
+    assert (got["a"].speaker_id, got["a"].tier, got["a"].split, got["a"].duration, got["a"].multi_speaker) == ("S1", "A", "val", 1.5, True)
+    assert all(r.wav_exists for r in R.packaged_records(meta).collect())
+
+
+def test_packaged_manifest(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{"id": "a", "audio_path": "x/a.wav", "tier": " b\\t", "text": "t"}\n{"id": "b", "audio_path": "/abs/b.wav", "split": "TEST"}\n{"id": "c"}\nnot json\n')
+    files = spark.createDataFrame([("/data/x/a.wav",), ("/abs/b.wav",)], "path string")
+    rows, malformed = R.read_packaged_manifest(spark, str(tmp_path / "m.jsonl"), files, ("/data/",))
+    got = {r.id: r for r in rows.collect()}
+    assert (got["a"].audio_path, got["a"].wav_exists, got["a"].tier, got["a"].split, got["a"].norm_text) == ("/data/x/a.wav", True, "B", "train", "t")
+    assert got["b"].wav_exists and got["b"].split == "test" and not got["c"].wav_exists and malformed.count() == 1

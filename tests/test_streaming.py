@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators.sampling import EOS
-from corpusloom.streaming.chunks import CHUNK_SCHEMA, Windows, _Sequence, chunk_bounds, last_snapshot, pause_samples, stream_chunks, with_pauses
+from corpusloom.streaming.chunks import CHUNK_SCHEMA, Windows, _Sequence, chunk_bounds, last_snapshot, pause_samples, replayed_chunks, stream_chunks, with_pauses, write_apart
 
 SNAPSHOT = "seq_id string, step int, raw array<bigint>, is_end boolean"
 
@@ -61,3 +61,15 @@ def test_last_snapshot_and_pauses(spark):
     audio = spark.createDataFrame([("x", s, 0, [1.0]) for s in range(3)], "seq_id string, segment int, chunk int, samples array<double>")
     played = with_pauses(audio, 100).sort("segment", "chunk").collect()
     assert [len(r.samples) for r in played] == [1, 10, 1, 10, 1] and pause_samples(22050) == 2205
+
+
+def test_replayed_sequences_and_errors_apart(spark, tmp_path):
+    df = spark.createDataFrame([("a", list(range(130))), ("b", []), ("c", [7] * 10)], "id string, tokens array<bigint>")
+    got = sorted(tuple(r) for r in replayed_chunks(df, 40).collect())
+    assert got == [("a", 0, 0, 40, False), ("a", 1, 30, 120, False), ("a", 2, 110, 130, True), ("c", 0, 0, 10, True)]
+    rows = spark.createDataFrame([("x", None), ("y", "broken")], "id string, error string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    write_apart(stream, str(tmp_path / "data"), str(tmp_path / "errors"), str(tmp_path / "state")).awaitTermination()
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "data")).collect()] == ["x"]
+    assert [(r.id, r.error) for r in spark.read.parquet(str(tmp_path / "errors")).collect()] == [("y", "broken")]

@@ -164,3 +164,12 @@ def test_prompt_and_requests(spark):
     got = df.select(X.prompt(F.col("lang"), F.col("t")), X.request_error(F.col("t"), F.col("lang"))).collect()
     assert got[0][0] == "You are a helpful assistant. 请用越南语朗读接下来的文字:a" and "请用xx朗读" in got[1][0]
     assert [r[1] for r in got] == [None, "language_not_served", "blank_text", "text_too_long"]
+
+
+def test_normalization_by_language(spark):
+    from corpusloom.functions.vi_rules import vi_normalize_udf
+
+    rows = [("có 5 con", "vi"), ("你 有 5 个.", "zh"), ("it has 5", "de"), ("có 5\tcon", "AUTO"), ("5", "auto"), ("ひ", "ja"), (None, "vi"), ("5", None)]
+    df = spark.createDataFrame(rows, "t string, lang string")
+    got = [r.o for r in df.select(X.normalize(F.col("t"), F.col("lang"), vi_normalize_udf()).alias("o")).collect()]
+    assert got == ["có năm con", "你有5个。", "it has five", "có năm con", "five", "ヒ", "", "five"]
