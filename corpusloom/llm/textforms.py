@@ -23,17 +23,28 @@ _IGNORABLE = re.compile(
     "\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]"
 )
 _BLANKS = re.compile(r"\s+")
-# Fixed values (Unicode confusables): letters of other scripts whose glyphs are those of Latin letters.
+# Fixed values (Unicode confusables): letters whose glyphs are those of Latin letters, by script.
 _CYRILLIC_LOOKS = ("асеорхуіѕјһԁԛԝАВЕКМНОРСТХІЅЈ", "aceopxyisjhdqwABEKMHOPCTXISJ")
-_GREEK_LOOKS = ("οϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺ", "ojABEZHIKMNOPTYXCM")
-_LATIN_LOOKS = ("ÐƉ", "ĐĐ")  # eth and African D beside D with stroke
+_GREEK_LOOKS = ("αγικνορυχϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺ", "ayikvopuxcjABEZHIKMNOPTYXCM")
+_OTHER_LOOKS = (
+    # eth and African D, dotless i, script a and g, iota, Latin upsilon, small capitals
+    "ÐƉıɑɡɩʋᴄᴏᴠᴡᴢ"
+    # palochka, Cyrillic we and pe with forms of their own, Armenian
+    "ӀӏԌԍҮүցհոսօՏՍՕ"
+    # Cherokee
+    "ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ",
+    "ĐĐiagivcovwzIlGgYyghnuoSUOABCDEHJKLMPRSTVWZ",
+)
 
-_TO_LATIN = str.maketrans(*("".join(x) for x in zip(_CYRILLIC_LOOKS, _GREEK_LOOKS, _LATIN_LOOKS)))
+_TO_LATIN = str.maketrans(*("".join(x) for x in zip(_CYRILLIC_LOOKS, _GREEK_LOOKS, _OTHER_LOOKS)))
 _TO_CYRILLIC = str.maketrans(_CYRILLIC_LOOKS[1] + "oABEHKMOPTX", _CYRILLIC_LOOKS[0] + "оАВЕНКМОРТХ")
-_TO_CYRILLIC |= str.maketrans("οΑΒΕΗΚΜΟΡΤΧ", "оАВЕНКМОРТХ")
-_LOOKALIKE = re.compile(f"[{_CYRILLIC_LOOKS[0]}{_GREEK_LOOKS[0]}{_LATIN_LOOKS[0]}]")
-_LATIN_ONLY = re.compile(f"[^\\W\\d_{_CYRILLIC_LOOKS[1]}{_GREEK_LOOKS[1]}\u0250-\U0010ffff]")
-_CYRILLIC_ONLY = re.compile(f"(?![{_CYRILLIC_LOOKS[0]}])[\u0400-\u052f]")
+_TO_CYRILLIC |= str.maketrans("αορχΑΒΕΗΚΜΟΡΤΧ", "аорхАВЕНКМОРТХ")
+_LOOKS = _CYRILLIC_LOOKS[0] + _GREEK_LOOKS[0] + _OTHER_LOOKS[0]
+# the letters themselves, and those that are composed of one and a mark
+_LOOKALIKE = re.compile(f"[{_LOOKS}{''.join(c for c in map(chr, (*range(0x370, 0x530), *range(0x1F00, 0x2000))) if unicodedata.normalize('NFD', c)[0] in _LOOKS and c not in _LOOKS)}]")
+_LATIN_ONLY = re.compile(f"[^\\W\\d_{_CYRILLIC_LOOKS[1]}{_GREEK_LOOKS[1]}{_OTHER_LOOKS[0][:3]}\u0250-\U0010ffff]")
+_CYRILLIC_ONLY = re.compile(f"(?![{_LOOKS}])[\u0400-\u052f]")
+_GREEK_ONLY = re.compile(f"(?![{_LOOKS}])[\u0370-\u03ff]")
 _WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f][^\W\d_]*)*")
 
 
@@ -44,16 +55,19 @@ def _bare(text: str) -> str:
 
 def _one_script(text: str) -> str:
     """Look-alike letters in the script of their word, or of the text where the word has no letter of its own script."""
+    text = unicodedata.normalize("NFD", text)
     latin_text = len(_LATIN_ONLY.findall(text)) >= len(_CYRILLIC_ONLY.findall(text))
 
     def word(m: re.Match) -> str:
         w = m[0]
         latin, cyrillic = bool(_LATIN_ONLY.search(w)), bool(_CYRILLIC_ONLY.search(w))
         if latin == cyrillic:
+            if not latin and _GREEK_ONLY.search(w):
+                return w  # a Greek word
             latin = latin_text
         return w.translate(_TO_LATIN if latin else _TO_CYRILLIC)
 
-    return unicodedata.normalize("NFC", _WORD.sub(word, unicodedata.normalize("NFD", text)))
+    return unicodedata.normalize("NFC", _WORD.sub(word, text))
 
 
 def unified(text: str) -> str:

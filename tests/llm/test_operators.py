@@ -306,7 +306,9 @@ def test_splits_keep_groups_whole_and_meet_shares(spark):
     [
         ("một", "một", True, True), ("ｃafé", "café", True, True), ("a​b", "ab", True, True), ("a b", "a b", True, True), ("ab ", "ab", True, True),
         ("Татьяна", "Tатьянa", True, True), ("сửa", "cửa", True, True), ("Dom", "dom", True, False), ("a b", "ab", False, False), ("a.b", "a,b", False, False), ("má", "ma", False, False),
-        ("ﾊﾞｽ", "バス", True, True), ("，", ",", True, True), ("Ðẹp", "Đẹp", True, True), ("СССР", "CCCP", True, True), ("⼈", "人", True, True), ("мама", "mama", False, False), ("", "​", True, True),
+        ("ﾊﾞｽ", "バス", True, True), ("，", ",", True, True), ("Ðẹp", "Đẹp", True, True), ("СССР", "CCCP", True, True), ("⼈", "人", True, True), ("мама", "mama", False, False),
+        ("tӑm", "tăm", True, True), ("Ѐ́", "È́", True, True), ("αnh", "anh", True, True), ("ρhở", "phở", True, True), ("νề", "về", True, True), ("ɡà", "gà", True, True), ("ｅ̂m", "êm", True, True),
+        ("Ꭰạ", "Dạ", True, True), ("օng", "ong", True, True), ("ӏà", "là", True, True), ("ά́nh", "á́nh", True, True), ("", "​", True, True),
     ],
 )
 def test_forms(a, b, same_form, same_look):
