@@ -1,8 +1,9 @@
 """Capping records per dominant contributor.
 
-Mergeable bounded heaps: every partition keeps, per contributor, only the cap's best (score, identifier) entries; the
-small heaps are merged in two tree levels; the kept identifiers are then joined back to the full records. A contributor
-that owns a third of all rows costs each partition no more than ``cap`` entries.
+Mergeable bounded heaps (kept as sorted lists): every partition keeps, per contributor, only the cap's best (score,
+identifier) entries; the small heaps are merged in a tree, at most MERGE_FAN of them at once and cut to the cap each time,
+so no merge holds more than MERGE_FAN times the cap; the kept identifiers then meet the full records in a semi-join. A
+contributor that owns a third of all rows costs each partition no more than ``cap`` entries.
 
 Defined cases: no contributor -> never capped; no cap listed and no ``*`` row, or a null cap -> never capped; a cap
 below 1 -> everything of that contributor goes; missing scores rank last; ties go to the identifier that is smaller in
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import broadcast_if_small
+from corpusloom.runtime import broadcast_if_small, materialize
 
 _ENTRY = "array<struct<a:double,b:double,id:string>>"
 _HEAPS = f"contributor string, cap bigint, heap {_ENTRY}"
-_MERGE_FAN = 32
+MERGE_FAN = 32
 
 
 def with_target(rows: DataFrame, targets: DataFrame, value: str, key: str = "contributor", target_key: str = "speaker_id") -> DataFrame:
@@ -85,10 +86,14 @@ def best_records(rows: DataFrame, targets: DataFrame) -> DataFrame:
         F.coalesce(F.col("penalty"), F.lit(float("inf"))).alias("b"),
         "id",
     )
-    heaps = ranked.mapInArrow(_bounded_heaps, _HEAPS).withColumn("_leaf", F.pmod(F.spark_partition_id(), F.lit(_MERGE_FAN)))
+    heaps = materialize(ranked.mapInArrow(_bounded_heaps, _HEAPS).withColumn("_leaf", F.spark_partition_id()), "bounded-heaps")
+    leaves = (heaps.agg(F.max("_leaf")).first()[0] or 0) + 1
     merged = F.slice(F.array_sort(F.flatten(F.collect_list("heap"))), 1, F.greatest(F.max("cap").cast("int"), F.lit(0))).alias("heap")
-    for keys in (["contributor", "_leaf"], ["contributor"]):
-        heaps = heaps.groupBy(*keys).agg(merged, F.max("cap").alias("cap"))
+    while True:
+        heaps = heaps.groupBy("contributor", F.floor(F.col("_leaf") / MERGE_FAN).alias("_leaf")).agg(merged, F.max("cap").alias("cap"))
+        leaves = -(-leaves // MERGE_FAN)
+        if leaves == 1:
+            break
     return heaps.select("contributor", F.explode("heap").alias("_e")).select("contributor", F.col("_e.id").alias("id"))
 
 
@@ -100,6 +105,9 @@ def cut_records(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def kept_records(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """The records that stay: all of ``rows`` without those of ``cut_records``."""
-    gone = cut_records(rows, targets).select(F.col("id").alias("_gone"))
-    return rows.join(gone, rows["id"] == gone["_gone"], "left_anti")
+    """The records that stay: those of no capped contributor, and of the others those in a heap."""
+    named = with_target(rows.select("id", "contributor", F.struct("*").alias("_row")), targets, "max_records")
+    capped = F.col("contributor").isNotNull() & F.col("target").isNotNull()
+    kept = best_records(rows, targets).select(F.col("id").alias("_kept"))
+    stay = named.where(capped).join(kept, F.col("id") == F.col("_kept"), "left_semi")
+    return named.where(~capped).unionByName(stay).select("_row.*")

@@ -27,6 +27,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,14 +39,17 @@ from corpusloom.runtime import broadcast_if_small, materialize
 RUNS = (2, 3, 4)  # words of a block
 SHORT = 11  # words up to which a train text has blocks of two words; longer ones have room for n // 4 + 1 blocks of three
 PIECE = 256  # words whose blocks are chosen together; a multiple of 4
-SKETCH_BITS = 20
+SKETCH_BITS = (20, 24)  # least and most; between them a slot for every SLOT runs of the evaluation texts
+SLOT = 16
 HOT = 20_000  # evaluation rows from which a block is salted
 _SALTS = 64
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[\u0300-\u036f]")
 _CJK = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 _CACHE = 1_000_000
-_NEVER = 1 << 30  # above any sum of counts, which are cut at 2^22
+_MOST = 1 << 22  # counts above are all alike to the choice of runs, not to what is hot
+_NEVER = 1 << 30  # above any sum of counts
+_PAGE = 1 << 12  # slots that travel together
 
 
 def words(text: str) -> list[str]:
@@ -153,6 +157,17 @@ def _all_runs(sizes: np.ndarray, starts: np.ndarray, hashes: list[np.ndarray]) -
     return np.concatenate([h[w] for h, w in zip(hashes, whole)]), np.concatenate([text[w] for w in whole])
 
 
+def _coded_counts(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes, eight steps to a doubling; 0 stays 0."""
+    return np.where(counts > 0, np.minimum(1 + np.round(8 * np.log2(np.maximum(counts, 1))), 255), 0).astype(np.uint8)
+
+
+def _decoded_counts(codes: np.ndarray) -> np.ndarray:
+    table = np.minimum(np.round(2 ** ((np.arange(256) - 1) / 8)), _MOST).astype(np.int32)
+    table[0] = 0
+    return table[codes]
+
+
 def _chosen_runs(sizes: np.ndarray, starts: np.ndarray, hashes: list[np.ndarray], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of n // 4 + 1 disjoint runs of each text of n >= 4 words that occur least by ``seen``, and their texts.
 
@@ -167,13 +182,14 @@ def _chosen_runs(sizes: np.ndarray, starts: np.ndarray, hashes: list[np.ndarray]
             n, at = n - PIECE, at + PIECE
         if n >= 4:
             pieces.setdefault(n, []).append((i, at))
+    bits = len(seen).bit_length() - 1
     groups = [(n, n // 4 + 1, found) for n, found in pieces.items()] + ([(PIECE, PIECE // 4, inner)] if inner else [])
     out, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for n, wanted, found in groups:
         text, at = np.array(found, np.int64).T
         row = np.arange(len(text))
         kinds = [(k, h) for k, h in zip(RUNS, hashes) if n <= SHORT or k > RUNS[0]]
-        costs = [seen[_slots(h[at[:, None] + np.arange(n - k + 1)])] for k, h in kinds]
+        costs = [seen[_slots(h[at[:, None] + np.arange(n - k + 1)], bits)] for k, h in kinds]
         # best[i][:, j]: least cost of i disjoint runs within the first j words
         best = [np.zeros((len(text), n + 1), np.int32)]
         for _ in range(wanted):
@@ -193,29 +209,51 @@ def _chosen_runs(sizes: np.ndarray, starts: np.ndarray, hashes: list[np.ndarray]
                 length[here] = k
                 picked[here] = h[at + start][here]
             end = end - length
-            kept = seen[_slots(picked)] > 0
+            kept = seen[_slots(picked, bits)] > 0
             out.append(picked[kept])
             texts.append(text[kept])
     return np.concatenate(out), np.concatenate(texts)
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in batches:
-        counts += np.bincount(_slots(_all_runs(*_runs(batch.column(0).to_pylist()))[0]), minlength=len(counts))
-    at = np.nonzero(counts)[0]
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "n"])
+def _sketch(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            counts += np.bincount(_slots(_all_runs(*_runs(batch.column(0).to_pylist()))[0], bits), minlength=len(counts))
+        at = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "n"])
+
+    return run
+
+
+def _page(rows: pd.DataFrame) -> pd.DataFrame:
+    codes = np.zeros(_PAGE, np.uint8)
+    codes[rows["slot"].to_numpy() % _PAGE] = _coded_counts(rows["n"].to_numpy())
+    return pd.DataFrame({"page": [int(rows["slot"].iloc[0]) // _PAGE], "codes": [codes.tobytes()]})
+
+
+def run_counts(texts: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """The count sketch of the runs of ``toks``, a byte a slot, and the hot slots: 4,096 at most, told by their full counts."""
+    words = texts.agg(F.sum(F.octet_length("toks") / 4)).first()[0] or 0
+    bits = min(max(int(words * len(RUNS) / SLOT).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    slots = materialize(texts.select("toks").mapInArrow(_sketch(bits), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")), "run-counts")
+    mean = (slots.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
+    hot = [r.slot for r in slots.where(F.col("n") > max(HOT, 256 * mean)).collect()]
+    codes = np.zeros(1 << bits, np.uint8)
+    for r in slots.groupBy(F.floor(F.col("slot") / _PAGE)).applyInPandas(_page, "page int, codes binary").collect():
+        codes[r.page * _PAGE : (r.page + 1) * _PAGE] = np.frombuffer(r.codes, np.uint8)
+    return codes, hot
 
 
 def _blocks(count):
     """tid, side, f1, f2, toks -> the same without toks, with the word count and the selected blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = count.value
+        seen = _decoded_counts(count.value)
         for batch in batches:
             sizes, starts, hashes = _runs(batch.column(4).to_pylist())
             held = batch.column(1).to_numpy() == 1
@@ -253,10 +291,7 @@ def linked_classes(coded: DataFrame, evaluation: list[str]) -> DataFrame:
     """Pairs ``(tid_a, tid_b)`` of a train-side and an evaluation-side class of equal texts that are near-same or equal."""
     spark = coded.sparkSession
     sided = coded.select("tid", F.col("split").isin(evaluation).cast("int").alias("side"), "glued", "f1", "f2", "toks")
-    slots = sided.where("side = 1").select("toks").mapInArrow(_sketch, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << SKETCH_BITS, np.int32)
-    counts[slots["slot"].to_numpy()] = np.minimum(slots["n"].to_numpy(), 1 << 22)
-    hot = [int(x) for x in np.nonzero(counts > max(HOT, 256 * counts.mean()))[0]]  # 4,096 at most
+    counts, hot = run_counts(sided.where("side = 1"))
     keyed = sided.select("tid", "side", "f1", "f2", "toks").mapInArrow(
         _blocks(spark.sparkContext.broadcast(counts)), "tid bigint, side int, f1 bigint, f2 bigint, size int, keys array<int>"
     )
@@ -264,7 +299,7 @@ def linked_classes(coded: DataFrame, evaluation: list[str]) -> DataFrame:
     blocks = classes.select("tid", "side", "f1", "f2", "size", F.explode("keys").alias("key"))
     # blocks in hot slots of the sketch: train rows are salted, evaluation rows repeated for each salt
     if hot:
-        slot = F.shiftrightunsigned("key", 32 - SKETCH_BITS)
+        slot = F.shiftrightunsigned("key", 33 - len(counts).bit_length())
         salts = F.when(slot.isin(hot), F.when(F.col("side") == 0, F.array(F.pmod("tid", F.lit(_SALTS)).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         blocks = blocks.withColumn("salt", F.explode(F.coalesce(salts, F.array(F.lit(0)))))
     else:
@@ -277,7 +312,7 @@ def linked_classes(coded: DataFrame, evaluation: list[str]) -> DataFrame:
     near = a.join(b, ["key", "salt"]).where((apart <= 2 * allowed - differ) & (differ <= allowed) & (F.col("tid_a") != F.col("tid_b")))
     near = materialize(near.select("tid_a", "tid_b").distinct(), "near-candidates")
 
-    wanted = broadcast_if_small(near.select(F.col("tid_a").alias("tid")).union(near.select(F.col("tid_b"))).distinct(), 500_000)
+    wanted = broadcast_if_small(near.select(F.col("tid_a").alias("tid")).union(near.select(F.col("tid_b"))).distinct())
     toks = sided.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("toks").alias("toks"))
     ta, tb = toks.select(F.col("tid").alias("tid_a"), F.col("toks").alias("toks_a")), toks.select(F.col("tid").alias("tid_b"), F.col("toks").alias("toks_b"))
     verified = near.join(ta, "tid_a").join(tb, "tid_b").select("tid_a", "tid_b", "toks_a", "toks_b").mapInArrow(_verify, "tid_a bigint, tid_b bigint")

@@ -2,9 +2,9 @@
 
 1. Components: records that share a value in any of the key columns belong together. With one key column that is the
    key itself; with several, the smallest label travels along shared values, with pointer jumping, until nothing changes.
-2. Largest differencing: every partition of the component table combines its components into ``BINS`` bins by
-   repeatedly pairing the two partial solutions of the largest spread, large bins against small ones. Partial solutions
-   are themselves such tuples, so the partitions' tuples are combined by the same step.
+2. Largest differencing: parts of about PART components each combine theirs into ``BINS`` bins by repeatedly pairing the
+   two partial solutions of the largest spread, large bins against small ones. Partial solutions are themselves such
+   tuples, so FAN of them at a time are combined by the same step, level by level, on the executors, until one is left.
 3. Whole bins go to the splits by target proportion, heaviest first, each to the split that lacks most; exchanges of
    whole bins then bring the sizes nearer still.
 
@@ -17,15 +17,16 @@ from __future__ import annotations
 
 import heapq
 import itertools
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.runtime import broadcast_if_small, materialize
 
 BINS = 400
+PART = 20_000  # components that are differenced together
+FAN = 32  # partial solutions that are combined at once
 
 
 def components(rows: DataFrame, keys: list[str], ident: str = "id") -> DataFrame:
@@ -66,10 +67,10 @@ def component_weights(rows: DataFrame) -> DataFrame:
 def difference(items: list[tuple[int, object]], bins: int) -> list[tuple[int, list]]:
     """Largest differencing of ``(weight, name)`` into ``bins`` bins: their weights and names, heaviest first.
 
-    A partial solution is the list of its non-empty bins, heaviest first; the empty ones are implied.
+    A partial solution is the list of its non-empty bins, heaviest first; the empty ones are implied. Equal weights go by name.
     """
     order = itertools.count()
-    heap = [(-w, next(order), [(w, [name])]) for w, name in items]
+    heap = [(-w, next(order), [(w, [name])]) for w, name in sorted(items, key=lambda x: (-x[0], x[1]))]
     heapq.heapify(heap)
     while len(heap) > 1:
         x, y = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
@@ -90,22 +91,18 @@ def difference(items: list[tuple[int, object]], bins: int) -> list[tuple[int, li
     return heap[0][2] if heap else []
 
 
-def _partition_bins(bins: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _part_bins(rows: pd.DataFrame) -> pd.DataFrame:
+    """One part's components in bins: a row per component."""
+    out = [(c, i, w) for i, (w, names) in enumerate(difference(list(zip(rows["weight"].tolist(), rows["component"].tolist())), BINS)) for c in names]
+    return pd.DataFrame(out, columns=["component", "bin", "bin_weight"]).assign(part=int(rows["part"].iloc[0]))
 
-        items: list[tuple[int, object]] = []
-        for batch in batches:
-            items += zip(batch.column(1).to_pylist(), batch.column(0).to_pylist())
-        part = TaskContext.get().partitionId()
-        for i, (weight, names) in enumerate(difference(items, bins)):
-            n = len(names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([part] * n, pa.int32()), pa.array([i] * n, pa.int32()), pa.array([weight] * n, pa.int64())],
-                names=["component", "part", "bin", "bin_weight"],
-            )
 
-    return run
+def _combined(rows: pd.DataFrame) -> pd.DataFrame:
+    """The bins of up to FAN parts in the bins of one: a row per bin taken in."""
+    up = int(rows["part"].iloc[0]) // FAN
+    taken = difference([(w, (p, b)) for w, p, b in zip(rows["w"].tolist(), rows["part"].tolist(), rows["bin"].tolist())], BINS)
+    out = [(p, b, up, i, w) for i, (w, names) in enumerate(taken) for p, b in names]
+    return pd.DataFrame(out, columns=["part", "bin", "up", "up_bin", "up_w"])
 
 
 def allocate(bins: list[tuple[int, list]], shares: list[tuple[str, float]]) -> dict[int, str]:
@@ -142,21 +139,28 @@ def allocate(bins: list[tuple[int, list]], shares: list[tuple[str, float]]) -> d
 def assign_splits(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``rows`` (one per record, with ``component``) and the column ``new_split``.
 
-    The driver sees ``BINS`` weights per partition of the component table, nothing per component.
+    The driver sees the ``BINS`` weights of the last level, nothing per component or part. The same rows give the same splits.
     """
     spark = rows.sparkSession
     shares = [(r[0], float(r[1])) for r in targets.where("split is not null and share_pct > 0").select("split", "share_pct").distinct().sort("split").collect()]
     if not shares:
         return rows.withColumn("new_split", F.lit(None).cast("string")).where("false")
-    weights = rows.groupBy("component").agg(F.count("*").alias("weight"))
-    local = materialize(weights.mapInArrow(_partition_bins(BINS), "component string, part int, bin int, bin_weight bigint"), "split-bins")
-    sums = local.groupBy("part", "bin").agg(F.max("bin_weight").alias("w")).collect()
-    partial = sorted((r.w, (r.part, r.bin)) for r in sums)
-    bins = difference([(w, name) for w, name in partial], BINS)
-    to = allocate(bins, shares)
-    plan = [(p, b, i, to[i]) for i, (_, names) in enumerate(bins) for p, b in names]
-    if not plan:
+    weights = materialize(rows.groupBy("component").agg(F.count("*").alias("weight")), "split-weights")
+    parts = max(1, -(-weights.count() // PART))
+    placed = weights.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts)).cast("int"))
+    local = materialize(placed.groupBy("part").applyInPandas(_part_bins, "component string, bin int, bin_weight bigint, part int"), "split-bins")
+    bins = local.groupBy("part", "bin").agg(F.max("bin_weight").alias("w"))
+    where = local.select("component", "part", "bin")
+    while parts > 1:
+        level = materialize(bins.groupBy(F.floor(F.col("part") / FAN)).applyInPandas(_combined, "part int, bin int, up int, up_bin int, up_w bigint"), "split-level")
+        bins = level.groupBy(F.col("up").alias("part"), F.col("up_bin").alias("bin")).agg(F.max("up_w").alias("w"))
+        taken = broadcast_if_small(level.select("part", "bin", "up", "up_bin"))
+        where = where.join(taken, ["part", "bin"]).select("component", F.col("up").alias("part"), F.col("up_bin").alias("bin"))
+        parts = -(-parts // FAN)
+    last = sorted((-r.w, r.bin) for r in bins.collect())
+    to = allocate([(-w, []) for w, _ in last], shares)
+    if not last:
         return rows.withColumn("new_split", F.lit(None).cast("string"))
-    named = spark.createDataFrame(plan, "part int, bin int, new_bin int, new_split string")
-    where = local.join(broadcast_if_small(named), ["part", "bin"]).select(F.col("component").alias("_c"), "new_split")
-    return rows.join(where, rows["component"] == where["_c"]).select(*rows.columns, "new_split")
+    plan = F.broadcast(spark.createDataFrame([(b, to[i]) for i, (_, b) in enumerate(last)], "bin int, new_split string"))  # BINS rows
+    named = materialize(where.join(plan, "bin").select(F.col("component").alias("_c"), "new_split"), "split-of-component")
+    return rows.join(broadcast_if_small(named), rows["component"] == F.col("_c")).select(*rows.columns, "new_split")

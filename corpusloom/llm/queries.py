@@ -53,6 +53,7 @@ def _cutoffs(spark, d):
     rows = records(load(spark, d, "metadata"), "speaker", "dnsmos").select(
         F.col("file_name").alias("id"), F.col("speaker").alias("source"), F.col("dnsmos").alias("score")
     )
+    rows = materialize(rows.where("source is not null and score is not null"), "scored-records")  # read by the counts and by the result
     return rows, quantile_cut.score_cutoffs(rows, load(spark, d, "curation_target"))
 
 
