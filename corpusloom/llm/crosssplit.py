@@ -292,20 +292,23 @@ def linked_classes(coded: DataFrame, evaluation: list[str]) -> DataFrame:
     spark = coded.sparkSession
     sided = coded.select("tid", F.col("split").isin(evaluation).cast("int").alias("side"), "glued", "f1", "f2", "toks")
     counts, hot = run_counts(sided.where("side = 1"))
-    keyed = sided.select("tid", "side", "f1", "f2", "toks").mapInArrow(
-        _blocks(spark.sparkContext.broadcast(counts)), "tid bigint, side int, f1 bigint, f2 bigint, size int, keys array<int>"
-    )
-    classes = keyed.groupBy("tid", "side").agg(*[F.first(c).alias(c) for c in ("f1", "f2", "size", "keys")])
-    blocks = classes.select("tid", "side", "f1", "f2", "size", F.explode("keys").alias("key"))
-    # blocks in hot slots of the sketch: train rows are salted, evaluation rows repeated for each salt
-    if hot:
+    seen = spark.sparkContext.broadcast(counts)
+
+    def blocks_of(side: int) -> DataFrame:
+        rows = sided.where(F.col("side") == side).select("tid", "side", "f1", "f2", "toks")
+        keyed = rows.mapInArrow(_blocks(seen), "tid bigint, side int, f1 bigint, f2 bigint, size int, keys array<int>")
+        classes = keyed.groupBy("tid").agg(*[F.first(c).alias(c) for c in ("side", "f1", "f2", "size", "keys")])
+        return salted(classes.select("tid", "side", "f1", "f2", "size", F.explode("keys").alias("key"))).select("key", "salt", *[F.col(c).alias(f"{c}_{'ab'[side]}") for c in ("tid", "f1", "f2", "size")])
+
+    def salted(blocks: DataFrame) -> DataFrame:
+        """Blocks in hot slots of the sketch: train rows get a salt, evaluation rows every one."""
+        if not hot:
+            return blocks.withColumn("salt", F.lit(0))
         slot = F.shiftrightunsigned("key", 33 - len(counts).bit_length())
         salts = F.when(slot.isin(hot), F.when(F.col("side") == 0, F.array(F.pmod("tid", F.lit(_SALTS)).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        blocks = blocks.withColumn("salt", F.explode(F.coalesce(salts, F.array(F.lit(0)))))
-    else:
-        blocks = blocks.withColumn("salt", F.lit(0))
-    a = blocks.where("side = 0").select("key", "salt", *[F.col(c).alias(f"{c}_a") for c in ("tid", "f1", "f2", "size")])
-    b = blocks.where("side = 1").select("key", "salt", *[F.col(c).alias(f"{c}_b") for c in ("tid", "f1", "f2", "size")])
+        return blocks.withColumn("salt", F.explode(F.coalesce(salts, F.array(F.lit(0)))))
+
+    a, b = blocks_of(0), blocks_of(1)
     allowed = F.floor(F.greatest("size_a", "size_b") / 5)
     apart = F.bit_count(F.col("f1_a").bitwiseXOR(F.col("f1_b"))) + F.bit_count(F.col("f2_a").bitwiseXOR(F.col("f2_b")))
     differ = F.abs(F.col("size_a") - F.col("size_b"))
