@@ -184,9 +184,10 @@ def penalized(scores: Column, generated: Column, penalty: float) -> Column:
     )
 
 
-def nucleus(scores: Column, k: int, p: float) -> Column:
-    """Ids kept by top-k and then top-p: the likeliest until their probability before them reaches p."""
-    ranked = F.slice(F.array_sort(F.transform(softmax(scores), lambda q, i: F.struct((-q).alias("q"), i.alias("i")))), 1, k)
+def nucleus(scores: Column, k: int, p: float, temperature: float = 1.0) -> Column:
+    """Ids kept by top-k and then top-p: the likeliest until their probability before them reaches p; a lower temperature sharpens."""
+    cooled = F.transform(scores, lambda s: s / temperature)
+    ranked = F.slice(F.array_sort(F.transform(softmax(cooled), lambda q, i: F.struct((-q).alias("q"), i.alias("i")))), 1, k)
     kept = F.aggregate(
         ranked,
         F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<int>").alias("ids")),

@@ -115,6 +115,11 @@ def length_mask(length: Column, to: Column) -> Column:
     return F.concat(F.array_repeat(F.lit(True), F.least(length, to).cast("int")), F.array_repeat(F.lit(False), F.greatest(to - length, F.lit(0)).cast("int")))
 
 
+def joined_mask(text: Column, tokens: Column, to: Column) -> Column:
+    """Mask of the joined input: a speaker place, ``text`` places, and ``tokens`` with their begin and end marks."""
+    return length_mask(1 + text + tokens + 2, to)
+
+
 def cleaned_tokens(raw: Column, last: int = 8191) -> Column:
     """Generated ids without begin and end marks, clamped to the codebook."""
     return F.transform(F.filter(raw, lambda x: (x != BOS) & (x != EOS)), lambda x: F.least(x, F.lit(last).cast("bigint")))

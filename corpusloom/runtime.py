@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,9 @@ def scratch_dir(spark: SparkSession) -> str:
         return where
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    where = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+    folder = tempfile.mkdtemp(prefix="corpusloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    where = "file://" + folder
     spark.conf.set("corpusloom.scratch.dir", where)
     return where
 
@@ -33,9 +37,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []  # intermediate tables of this process
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Deletes the intermediate tables written so far, and says how many; call it when the results that read them are stored."""
+    context = spark.sparkContext
+    settings, done = context._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = context._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += bool(path.getFileSystem(settings).delete(path, True))
+    return done
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """``df`` with a broadcast hint when it has at most ``max_rows`` rows, else unchanged (a shuffled join follows).
 

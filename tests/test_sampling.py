@@ -117,3 +117,18 @@ def test_cross_entropy_ignores_its_mark(spark):
     df = spark.createDataFrame([([0.0, 0.0], 1), ([0.0, math.log(3.0)], 1), ([1.0, 2.0], -100)], "v array<double>, t int")
     got = [r.l for r in df.select(A.cross_entropy(F.col("v"), F.col("t")).alias("l")).collect()]
     assert got[0] == pytest.approx(math.log(2)) and got[1] == pytest.approx(math.log(4 / 3)) and got[2] is None
+
+
+def test_joined_mask_and_temperature(spark):
+    row = spark.range(1).select(S.joined_mask(F.lit(2), F.lit(1), F.lit(8)).alias("m"), *[A.nucleus(F.array(*map(F.lit, (0.0, 1.0, 2.0))), 3, 0.7, t).alias(f"n{i}") for i, t in enumerate((0.1, 10.0))]).first()
+    assert row.m == [True] * 6 + [False] * 2 and row.n0 == [2] and row.n1 == [2, 1]
+
+
+def test_scratch_tables_are_released(spark):
+    from corpusloom import runtime
+
+    runtime.release_scratch(spark)
+    kept = runtime.materialize(spark.range(3), "kept")
+    path = kept.inputFiles()[0]
+    assert kept.count() == 3 and runtime.release_scratch(spark) == 1
+    assert not __import__("os").path.exists(path.removeprefix("file://")) and runtime.release_scratch(spark) == 0
