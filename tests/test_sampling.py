@@ -120,7 +120,7 @@ def test_cross_entropy_ignores_its_mark(spark):
 
 
 def test_joined_mask_and_temperature(spark):
-    row = spark.range(1).select(S.joined_mask(F.lit(2), F.lit(1), F.lit(8)).alias("m"), *[A.nucleus(F.array(*map(F.lit, (0.0, 1.0, 2.0))), 3, 0.7, t).alias(f"n{i}") for i, t in enumerate((0.1, 10.0))]).first()
+    row = spark.range(1).select(S.joined_mask(F.lit(2), F.lit(1), F.lit(8)).alias("m"), *[A.nucleus(F.array(*map(F.lit, (0.0, 1.0, 2.0))), 3, 0.6, t).alias(f"n{i}") for i, t in enumerate((0.1, 10.0))]).first()
     assert row.m == [True] * 6 + [False] * 2 and row.n0 == [2] and row.n1 == [2, 1]
 
 
