@@ -49,7 +49,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f][^\W\d_]*)*")
 
 
 def _bare(text: str) -> str:
-    """Compatibility form without default-ignorable characters, decomposed where look-alike letters have to be mapped."""
+    """Compatibility form, composed, without default-ignorable characters."""
     return unicodedata.normalize("NFKC", _IGNORABLE.sub("", text))
 
 

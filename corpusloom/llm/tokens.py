@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import importlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,9 +13,9 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
 def _load(name: str, folder: str | None):
+    import public_tokenizers as public
     import tiktoken
 
-    public = importlib.import_module("public_tokenizers")
     path = f"{folder}/{name}" if folder else public.path(name)
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
