@@ -91,18 +91,27 @@ def difference(items: list[tuple[int, object]], bins: int) -> list[tuple[int, li
     return heap[0][2] if heap else []
 
 
-def _part_bins(rows: pd.DataFrame) -> pd.DataFrame:
+def _part_bins(bins: int):
     """One part's components in bins: a row per component."""
-    out = [(c, i, w) for i, (w, names) in enumerate(difference(list(zip(rows["weight"].tolist(), rows["component"].tolist())), BINS)) for c in names]
-    return pd.DataFrame(out, columns=["component", "bin", "bin_weight"]).assign(part=int(rows["part"].iloc[0]))
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        items = list(zip(rows["weight"].tolist(), rows["component"].tolist()))
+        out = [(c, i, w) for i, (w, names) in enumerate(difference(items, bins)) for c in names]
+        return pd.DataFrame(out, columns=["component", "bin", "bin_weight"]).assign(part=int(rows["part"].iloc[0]))
 
-def _combined(rows: pd.DataFrame) -> pd.DataFrame:
-    """The bins of up to FAN parts in the bins of one: a row per bin taken in."""
-    up = int(rows["part"].iloc[0]) // FAN
-    taken = difference([(w, (p, b)) for w, p, b in zip(rows["w"].tolist(), rows["part"].tolist(), rows["bin"].tolist())], BINS)
-    out = [(p, b, up, i, w) for i, (w, names) in enumerate(taken) for p, b in names]
-    return pd.DataFrame(out, columns=["part", "bin", "up", "up_bin", "up_w"])
+    return run
+
+
+def _combined(bins: int, fan: int):
+    """The bins of up to ``fan`` parts in the bins of one: a row per bin taken in."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        up = int(rows["part"].iloc[0]) // fan
+        taken = difference([(w, (p, b)) for w, p, b in zip(rows["w"].tolist(), rows["part"].tolist(), rows["bin"].tolist())], bins)
+        out = [(p, b, up, i, w) for i, (w, names) in enumerate(taken) for p, b in names]
+        return pd.DataFrame(out, columns=["part", "bin", "up", "up_bin", "up_w"])
+
+    return run
 
 
 def allocate(bins: list[tuple[int, list]], shares: list[tuple[str, float]]) -> dict[int, str]:
@@ -148,11 +157,11 @@ def assign_splits(rows: DataFrame, targets: DataFrame) -> DataFrame:
     weights = materialize(rows.groupBy("component").agg(F.count("*").alias("weight")), "split-weights")
     parts = max(1, -(-weights.count() // PART))
     placed = weights.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts)).cast("int"))
-    local = materialize(placed.groupBy("part").applyInPandas(_part_bins, "component string, bin int, bin_weight bigint, part int"), "split-bins")
+    local = materialize(placed.groupBy("part").applyInPandas(_part_bins(BINS), "component string, bin int, bin_weight bigint, part int"), "split-bins")
     bins = local.groupBy("part", "bin").agg(F.max("bin_weight").alias("w"))
     where = local.select("component", "part", "bin")
     while parts > 1:
-        level = materialize(bins.groupBy(F.floor(F.col("part") / FAN)).applyInPandas(_combined, "part int, bin int, up int, up_bin int, up_w bigint"), "split-level")
+        level = materialize(bins.groupBy(F.floor(F.col("part") / FAN)).applyInPandas(_combined(BINS, FAN), "part int, bin int, up int, up_bin int, up_w bigint"), "split-level")
         bins = level.groupBy(F.col("up").alias("part"), F.col("up_bin").alias("bin")).agg(F.max("up_w").alias("w"))
         taken = broadcast_if_small(level.select("part", "bin", "up", "up_bin"))
         where = where.join(taken, ["part", "bin"]).select("component", F.col("up").alias("part"), F.col("up_bin").alias("bin"))
